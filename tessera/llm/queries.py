@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import linededup, warc
+from tessera.llm import decontam, knn, linededup, mixing, simhash, warc
 
 
 def _table(spark, sf_dir, name):
@@ -16,6 +16,10 @@ def _on(name, op):
 QUERIES = {
     "op1_warc": _on("pages", warc.op1_digest),
     "op2_line_dedup": _on("documents", linededup.op2_lines),
+    "op3_topk": _on("embeddings", knn.op3_topk),
+    "op5_decontam": lambda spark, sf_dir: decontam.op5_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")),
+    "op7_mixing": _on("documents", mixing.op7_mix),
+    "op8_simhash": _on("documents", simhash.op8_components),
 }
 
 SQL = {
@@ -29,4 +33,5 @@ SELECT q.page_id, CAST(q.n AS BIGINT) AS payload_bytes, q.d AS payload_digest,
 FROM q LEFT JOIN g ON q.d = g.d AND q.n >= 100
 """,
     "op2_line_dedup": linededup.OP2_SQL,
+    "op3_topk": knn.OP3_SQL,
 }
