@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, knn, linededup, mixing, simhash, warc
+from tessera.llm import decontam, htmltext, knn, linededup, mixing, pii, simhash, substrings, toxicity, warc
 
 
 def _table(spark, sf_dir, name):
@@ -17,9 +17,13 @@ QUERIES = {
     "op1_warc": _on("pages", warc.op1_digest),
     "op2_line_dedup": _on("documents", linededup.op2_lines),
     "op3_topk": _on("embeddings", knn.op3_topk),
+    "op4_html": _on("pages", htmltext.extract),
     "op5_decontam": lambda spark, sf_dir: decontam.op5_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")),
+    "op6_toxicity": lambda spark, sf_dir: toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
     "op7_mixing": _on("documents", mixing.op7_mix),
     "op8_simhash": _on("documents", simhash.op8_components),
+    "op9_pii": _on("documents", pii.op9_spans),
+    "op10_substrings": _on("documents", substrings.op10_bytes),
 }
 
 SQL = {
