@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Return the folder that driver and executors share.
 
@@ -34,11 +37,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the written table.
 
-    Cuts the lineage; the files survive the loss of any executor.
+    Cuts the lineage; the files survive the loss of any executor, and the
+    shuffle files of the write go as soon as it has ended.
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
