@@ -9,7 +9,6 @@ applied from the final earlier models.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,7 +102,7 @@ def _fit(idx, row, n_words, n_rows, extra, y, rows, l2, max_iter=40):
     return w, margin
 
 
-def fit_chain(sample: list[tuple], names: tuple[str, ...], min_docs: int = 4, folds: int = 3, l2: float = 0.5, max_features: int = 6000) -> list[Link]:
+def fit_chain(sample, names: tuple[str, ...], min_docs: int = 4, folds: int = 3, l2: float = 0.5, max_features: int = 6000) -> list[Link]:
     """Fit the chain on ``(fold, features, labels)`` rows; a null label leaves its row out of that category.
 
     Each category uses the ``max_features`` features of at least ``min_docs``
@@ -111,16 +110,24 @@ def fit_chain(sample: list[tuple], names: tuple[str, ...], min_docs: int = 4, fo
     ones and zeros. A category without both labels gets a constant model: its
     share of ones.
     """
-    seen = Counter(w for _, words, _ in sample for w in words)
-    everything = sorted(w for w, n in seen.items() if n >= min_docs)
-    place = {w: i for i, w in enumerate(everything)}
-    per_row = [np.array([i for w in words if (i := place.get(w)) is not None], np.int64) for _, words, _ in sample]
+    ids: dict[str, int] = {}
+    rows, labels, folds_of = [], [], []
+    for number, features, marks in sample:  # one row's strings at a time
+        rows.append(np.fromiter((ids.setdefault(f, len(ids)) for f in features), np.int64))
+        labels.append(marks)
+        folds_of.append(number % folds)
+    docs_with = np.bincount(np.concatenate(rows), minlength=len(ids)) if ids else np.zeros(0, int)
+    everything = sorted(f for f, i in ids.items() if docs_with[i] >= min_docs)
+    place = np.full(len(ids), -1)
+    place[[ids[f] for f in everything]] = np.arange(len(everything))
+    ids.clear()
+    per_row = [np.sort(p[p >= 0]) for p in (place[r] for r in rows)]
     all_idx = np.concatenate(per_row) if per_row else np.zeros(0, np.int64)
-    all_row = np.repeat(np.arange(len(sample)), [len(x) for x in per_row])
-    n, fold = len(sample), np.array([s[0] % folds for s in sample], np.int64)
+    all_row = np.repeat(np.arange(len(rows)), [len(x) for x in per_row])
+    n, fold = len(rows), np.array(folds_of, np.int64)
     chain, oof = [], np.zeros((n, 0))
     for j, name in enumerate(names):
-        raw = [s[2][j] for s in sample]
+        raw = [m[j] for m in labels]
         known = np.array([v is not None for v in raw], bool)
         y = np.array([int(bool(v)) for v in raw], np.int64)
         share = float(y[known].mean()) if known.any() else 0.0
@@ -180,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, doc_id: str = "d
 
     picked = rows.select("__id", "__text", *[f"__y{i}" for i in range(len(names))]).mapInArrow(run, "__id long, words string, " + ", ".join(f"__y{i} int" for i in range(len(names))))
     sample = sorted(picked.collect(), key=lambda r: (r[0], r[1]))
-    return fit_chain([(r[0], features_of(set(r[1].split())), r[2:]) for r in sample], names, folds=folds)
+    return fit_chain(((r[0], features_of(set(r[1].split())), r[2:]) for r in sample), names, folds=folds)
 
 
 def classify(docs: DataFrame, chain: list[Link], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
