@@ -10,9 +10,10 @@ decide something:
    anchors, each with the run of strings that hang on it. Equal runs (named from
    the buckets at both ends) form a class. All but the first of a class are
    repeats as a whole.
-2. A first run whose anchor bucket has no other class is new as a whole.
-3. The remaining runs - the edges of repeated passages - are refined to the
-   buckets of their single strings, and all but the first of a bucket are repeats.
+2. A first run whose bucket has no other class is new as a whole.
+3. The remaining runs - the edges of repeated passages - are cut into shorter
+   runs, named from the longer core that their strings share, and settled in the
+   same way; at last each string is a run of its own and its bucket decides.
 
 Each task first settles what it can among its own rows and sends one row for
 each class or bucket, so that a passage which a third of all documents share is
@@ -73,33 +74,48 @@ def _gram_size(n: int) -> int:
     return q
 
 
-def anchor_runs(data: np.ndarray, ends: np.ndarray, base: np.ndarray, n: int):
-    """Runs of the n-byte strings of concatenated documents.
+def anchor_runs(data: np.ndarray, ends: np.ndarray, base: np.ndarray, n: int, block: int | None = None):
+    """Runs of the n-byte strings of concatenated pieces of documents.
 
-    ``ends``: where each document ends in ``data``; ``base``: position of its
-    first byte in its document. Returns per run: document index, first position
-    (in the document), length, anchor name (32 bits), run name (64 bits).
+    ``ends``: where each piece ends in ``data``; ``base``: position of its first
+    byte in its document. Without ``block``, the strings that hang on one anchor
+    are a run and its bucket is the anchor's q-gram. With it, at most ``block``
+    strings at fixed distances from the anchor are a run, and the bucket is that
+    of the n + 1 - block bytes which they share. Returns per run: piece index,
+    first position (in the document), length, bucket (32 bits), run name (64 bits).
     """
     q = _gram_size(n)
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint32, np.uint64))
     if len(data) < n:
         return none
-    grams, _, full = _refined(data, q, n)
+    grams, half, full = _refined(data, q, n)
     starts = np.concatenate([[0], ends[:-1]])
     doc = np.repeat(np.arange(len(ends)), ends - starts)
     pos = np.arange(len(data)) - starts[doc] + base[doc]
-    key = (grams >> U(32) << U(32)) | pos[: len(grams)].astype(U)
-    at = _sliding_min(key, n - q + 1) & U(0xFFFFFFFF)
-    p = np.flatnonzero(np.arange(len(at)) + n <= ends[doc[: len(at)]])
+    p = np.flatnonzero(np.arange(len(full)) + n <= ends[doc[: len(full)]])
     if not len(p):
         return none
-    d, m = doc[p], at[p].astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (m[1:] != m[:-1])]))
+    d = doc[p]
+    if block == 1:
+        return d, pos[p], np.ones(len(p), np.int64), (full[p] >> U(32)).astype(np.uint32), _blend(full[p], half[p], 3)
+    key = (grams >> U(32) << U(32)) | pos[: len(grams)].astype(U)
+    m = (_sliding_min(key, n - q + 1)[p] & U(0xFFFFFFFF)).astype(np.int64)
+    change = (d[1:] != d[:-1]) | (m[1:] != m[:-1])
+    if block:
+        cell = (m - pos[p]) // block
+        change |= cell[1:] != cell[:-1]
+    new = np.flatnonzero(np.concatenate([[True], change]))
     first, last = p[new], p[np.concatenate([new[1:], [len(p)]]) - 1]
     anchor = first - pos[first] + m[new]  # index of the anchor in data
     name = _blend(full[first], full[last], 5)
     name = _blend(name, ((last - first) << 20 | (anchor - first)).astype(U), 7)
-    return d[new], pos[first], last - first + 1, (grams[anchor] >> U(32)).astype(np.uint32), name
+    if block:
+        core = anchor - cell[new] * block  # where the shared bytes begin
+        size = 1 << (n.bit_length() - 1)
+        bucket = _blend(half[core], half[core + n + 1 - block - size], 11)
+    else:
+        bucket = grams[anchor]
+    return d[new], pos[first], last - first + 1, (bucket >> U(32)).astype(np.uint32), name
 
 
 def _bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -132,33 +148,57 @@ def _merged(d, start, length, kind):
     return d[at], _code(start[at], np.add.reduceat(length, at), kind)
 
 
-NAMES = ["part", "doc_id", "th", "codes", "blob"]
-ROWS = "part int, doc_id long, th long, codes array<long>, blob binary"
+ROWS = "part int, blob binary"
+RESULT = 0x40000000  # parts from here on hold results, dealt by document
 
 
-def _rows(ids, ths, d, codes):
-    """One row for each document that has codes."""
-    order = np.argsort(d, kind="stable")
-    d, codes = d[order], codes[order]
-    if not len(d):
-        return
-    heads = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([heads, [len(d)]]), pa.int32()), pa.array(codes, pa.int64()))
-    n, own = len(heads), d[heads]
-    part = pa.array((ths[own] & 0x3FFFFFFF) | 0x40000000, pa.int32())
-    yield pa.RecordBatch.from_arrays([part, pa.array(ids[own]), pa.array(ths[own]), lists, pa.nulls(n, pa.binary())], names=NAMES)
+def _packed(parts, ids, ths, d, columns, shift=0):
+    """Blobs of columns, one row for each part that occurs; documents are listed once in a blob."""
+    order = np.argsort(parts, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], parts[order][1:] != parts[order][:-1]])) if len(order) else order
+    for i, at in enumerate(heads):
+        idx = order[at : heads[i + 1] if i + 1 < len(heads) else len(order)]
+        own, local = np.unique(d[idx], return_inverse=True)
+        fields = [np.array([len(own), len(idx)], np.int64), ids[own], ths[own], local.astype(np.uint32), *[c[idx] for c in columns]]
+        yield pa.RecordBatch.from_arrays([pa.array([int(parts[idx[0]]) + shift], pa.int32()), pa.array([b"".join(f.tobytes() for f in fields)], pa.binary())], names=["part", "blob"])
+
+
+def _results(ids, ths, d, codes, n_parts):
+    """Codes as blobs, dealt by the documents' hashes."""
+    return _packed((ths & 0x3FFFFFFF)[d] % n_parts, ids, ths, d, [codes], RESULT)
+
+
+def _by_part(batches, settle, first):
+    """Hand the blobs of each part to ``settle``, whole; results pass through unless ``first`` asks for them."""
+    part, blobs = None, []
+    for batch in batches:
+        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if k >= RESULT > first:
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob.as_py()], pa.binary())], names=["part", "blob"])
+                continue
+            if k != part and blobs:
+                yield from settle(blobs)
+                blobs = []
+            part = k
+            blobs.append(blob.as_py())
+    if blobs:
+        yield from settle(blobs)
 
 
-def _packed(parts, n_parts, ids, ths, d, columns):
-    """Blobs of columns, one row for each part; documents are listed once in a blob."""
-    order = np.argsort(parts, kind="stable")
-    cuts = np.searchsorted(parts[order], np.arange(n_parts + 1))
-    for k in range(n_parts):
-        idx = order[cuts[k] : cuts[k + 1]]
-        if len(idx):
-            own, local = np.unique(d[idx], return_inverse=True)
-            fields = [np.array([len(own), len(idx)], np.int64), ids[own], ths[own], local.astype(np.uint32), *[c[idx] for c in columns]]
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([b"".join(f.tobytes() for f in fields)], pa.binary())], names=NAMES)
+def _gather(blobs):
+    """One row for each document, with its codes, neighbouring runs joined."""
+    ids, ths, d, (codes,) = _unpacked(blobs, (np.int64,))
+    if not len(d):
+        return
+    rank = _ranked(ids, ths, d)
+    docs, at = np.unique(rank, return_index=True)
+    kind = codes & 1
+    parts = [_merged(rank[m], codes[m] >> 16, (codes[m] & 0xFFFF) >> 1, k) for k in (0, 1) if (m := kind == k).any()]
+    r, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(r, kind="stable")
+    cuts = np.searchsorted(r[order], np.append(docs, docs[-1] + 1))
+    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(c[order], pa.int64()))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[d[at]]), pa.array(ths[d[at]]), lists], names=["doc_id", "th", "codes"])
 
 
 def _unpacked(blobs, dtypes):
@@ -225,142 +265,100 @@ def _settle_runs(ids, ths, d, start, length, anchor, name, foreign):
 
 
 def repeats(docs: DataFrame, n: int = 100, doc_id: str = "doc_id", text: str = "text", part_bytes: int = 24 << 20) -> DataFrame:
-    """Return ``doc_id, th, text, first, second`` with the codes of repeated runs of every document."""
+    """Return ``doc_id, th, text, codes`` with the codes of repeated runs of every document.
+
+    ``codes`` holds, for each run of starts: start * 65536 + length * 2 (+ 1 for
+    runs that a later level settled). Each level is written to the shared folder.
+    """
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(8, -(-total // part_bytes))
-    run_types = (np.int64, np.uint16, np.uint32, np.uint64, np.uint8)
+    run_types = (np.uint32, np.uint16, np.uint32, np.uint64, np.uint8)
 
-    def cut(batches):
-        """Runs of all documents of a task, settled among themselves."""
+    def cut(block, batches):
+        """Runs of all pieces of a task, settled among themselves."""
         held, size = [], 0
 
         def flush():
             ids, ths = (np.concatenate([h[i] for h in held]) for i in (0, 1))
             shift = np.cumsum([0, *[len(h[0]) for h in held]])
             d = np.concatenate([h[2] + s for h, s in zip(held, shift, strict=False)])
-            start, length, anchor, name = (np.concatenate([h[i] for h in held]) for i in (3, 4, 5, 6))
-            repeat, refine, send, many = _settle_runs(ids, ths, d, start, length, anchor, name, np.zeros(len(d), bool))
+            start, length, bucket, name = (np.concatenate([h[i] for h in held]) for i in (3, 4, 5, 6))
+            repeat, refine, send, many = _settle_runs(ids, ths, d, start, length, bucket, name, np.zeros(len(d), bool))
             for mask, kind in ((repeat, 0), (refine, 1)):
-                yield from _rows(ids, ths, *_merged(d[mask], start[mask], length[mask], kind))
-            yield from _packed(anchor[send] % n_parts, n_parts, ids, ths, d[send], [start[send], length[send].astype(np.uint16), anchor[send], name[send], many[send].astype(np.uint8)])
+                yield from _results(ids, ths, *_merged(d[mask], start[mask], length[mask], kind), n_parts)
+            yield from _packed(bucket[send] % n_parts, ids, ths, d[send], [start[send].astype(np.uint32), length[send].astype(np.uint16), bucket[send], name[send], many[send].astype(np.uint8)])
 
         for batch in batches:
             data, off = _bytes_of(batch.column(2))
             ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            pieces, i = [], 0
-            while i < len(ids):
-                if off[i + 1] - off[i] > STEP:  # a long document goes in overlapping pieces
-                    for s in range(off[i], max(off[i] + 1, off[i + 1] - n + 1), STEP):
-                        pieces.append((np.array([i]), s, min(s + STEP + n - 1, off[i + 1]), np.array([s - off[i]])))
-                    i += 1
-                    continue
-                j = i
-                while j < len(ids) and off[j + 1] - off[i] <= STEP:
-                    j += 1
-                pieces.append((np.arange(i, j), off[i], off[j], np.zeros(j - i, np.int64)))
-                i = j
-            for own, s, e, first in pieces:
-                ends = np.array([e - s]) if len(own) == 1 else off[own + 1] - s
-                d, start, length, anchor, name = anchor_runs(data[s:e], ends, first, n)
-                held.append((ids[own], ths[own], d, start, length, anchor, name))
+            for own, piece, ends, first in _pieces(data, off, n) if block is None else _spans(data, off, batch.column(3), n):
+                d, start, length, bucket, name = anchor_runs(piece, ends, first, n, block)
+                docs_of, at = np.unique(own, return_inverse=True)
+                held.append((ids[docs_of], ths[docs_of], at[d], start, length, bucket, name))
                 size += len(d)
-            if size >= FLUSH:
-                yield from flush()
-                held, size = [], 0
-        if held:
-            yield from flush()
-
-    def merge_parts(settle):
-        """Collect the blobs of a part and settle them; pass rows through that are settled already."""
-
-        def run(batches):
-            part, blobs = None, []
-            for batch in batches:
-                for i, k in enumerate(batch.column(0).to_pylist()):
-                    if k < 0x40000000:
-                        if k != part and blobs:
-                            yield from settle(blobs)
-                            blobs = []
-                        part = k
-                        blobs.append(batch.column(4)[i].as_py())
-                done = pc.greater_equal(batch.column(0), 0x40000000)
-                if pc.any(done).as_py():
-                    yield batch.filter(done)
-            if blobs:
-                yield from settle(blobs)
-
-        return run
-
-    def settle_runs(blobs):
-        ids, ths, d, (start, length, anchor, name, foreign) = _unpacked(blobs, run_types)
-        foreign = foreign.astype(bool)
-        repeat, refine, _, _ = _settle_runs(ids, ths, d, start, length.astype(np.int64), anchor, name, foreign)
-        for mask, kind in ((repeat & ~foreign, 0), (refine & ~foreign & ~repeat, 1)):
-            yield from _rows(ids, ths, *_merged(d[mask], start[mask], length[mask].astype(np.int64), kind))
-
-    def settle_strings(blobs):
-        ids, ths, d, (pos, low, name) = _unpacked(blobs, (np.int64, np.uint32, np.uint64))
-        _, _, repeat_sorted = got = _classes((low, name), _ranked(ids, ths, d), pos)
-        mask = np.zeros(len(d), bool)
-        mask[got[0]] = repeat_sorted
-        yield from _rows(ids, ths, *_merged(d[mask], pos[mask], np.ones(mask.sum(), np.int64), 0))
-
-    def refine(batches):
-        """Names of the single strings of the runs to refine, settled among those of a task."""
-        held, size = [], 0
-
-        def flush():
-            ids, ths = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            shift = np.cumsum([0, *[len(h[0]) for h in held]])
-            d = np.concatenate([h[2] + s for h, s in zip(held, shift, strict=False)])
-            pos, low, name = (np.concatenate([h[i] for h in held]) for i in (3, 4, 5))
-            order, head, again = _classes((low, name), _ranked(ids, ths, d), pos)
-            mask = np.zeros(len(d), bool)
-            mask[order] = again
-            yield from _rows(ids, ths, *_merged(d[mask], pos[mask], np.ones(mask.sum(), np.int64), 0))
-            send = order[head]
-            yield from _packed((name[send] % U(n_parts)).astype(np.int64), n_parts, ids, ths, d[send], [pos[send], low[send], name[send]])
-
-        for batch in batches:
-            data, off = _bytes_of(batch.column(2))
-            ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lists = batch.column(3)
-            codes, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-            doc = np.repeat(np.arange(len(ids)), np.diff(at))
-            codes = codes[at[0] : at[-1]]
-            take = (codes & 1) == 1
-            doc, start, length = doc[take], codes[take] >> 16, (codes[take] & 0xFFFF) >> 1
-            begin = 0
-            while begin < len(doc):
-                cum = np.cumsum(length[begin : begin + 50_000] + n - 1)
-                stop = begin + max(1, int(np.searchsorted(cum, STEP, "right")))
-                dd, ss, ll = doc[begin:stop], start[begin:stop], length[begin:stop]
-                begin = stop
-                span = ll + n - 1
-                where = np.repeat(off[dd] + ss - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
-                _, half, full = _refined(data[where], _gram_size(n), n)
-                first = np.concatenate([[0], np.cumsum(span)[:-1]])
-                idx = np.repeat(first - np.concatenate([[0], np.cumsum(ll)[:-1]]), ll) + np.arange(ll.sum())
-                pos = np.repeat(ss - np.concatenate([[0], np.cumsum(ll)[:-1]]), ll) + np.arange(ll.sum())
-                held.append((ids, ths, np.repeat(dd, ll), pos, (half[idx] >> U(32)).astype(np.uint32), full[idx]))
-                size += len(pos)
                 if size >= FLUSH:
                     yield from flush()
                     held, size = [], 0
         if held:
             yield from flush()
 
-    def by_part(rows, settle):
-        return rows.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(merge_parts(settle), ROWS).select("doc_id", "th", "codes")
-
-    settled = by_part(base.mapInArrow(cut, ROWS), settle_runs)
-    first = written(settled.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("codes")).alias("first")), "repeats-runs")
-    both = base.join(first.select(F.col("doc_id").alias("d1"), F.col("th").alias("t1"), "first"), F.expr("doc_id = d1 and th = t1"), "left").select("doc_id", "th", "text", "first")
-    open_runs = both.where("exists(first, c -> (c & 1) = 1)")
-    second = by_part(open_runs.mapInArrow(refine, ROWS), settle_strings)
-    second = second.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("codes")).alias("second"))
-    return both.join(second.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "second"), F.expr("doc_id = d2 and th = t2"), "left").select("doc_id", "th", "text", "first", "second")
+    def settle(blobs):
+        ids, ths, d, (start, length, bucket, name, foreign) = _unpacked(blobs, run_types)
+        foreign, start, length = foreign.astype(bool), start.astype(np.int64), length.astype(np.int64)
+        repeat, refine, _, _ = _settle_runs(ids, ths, d, start, length, bucket, name, foreign)
+        for mask, kind in ((repeat & ~foreign, 0), (refine & ~foreign & ~repeat, 1)):
+            yield from _results(ids, ths, *_merged(d[mask], start[mask], length[mask], kind), n_parts)
+
+    def with_codes(codes):
+        per_doc = codes.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("codes")).alias("codes"))
+        return base.join(per_doc.select(F.col("doc_id").alias("d1"), F.col("th").alias("t1"), "codes"), F.expr("doc_id = d1 and th = t1"), "left").select("doc_id", "th", "text", "codes")
+
+    levels: list[DataFrame] = []
+    for block in (None, *[b for b in (12,) if n + 1 - b >= 1 << (n.bit_length() - 1)], 1):
+        rows = base if block is None else with_codes(levels[-1]).where("exists(codes, c -> (c & 1) = 1)")
+        cut_here = lambda batches, block=block: cut(block, batches)
+        runs = rows.mapInArrow(cut_here, ROWS).repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(lambda batches: _by_part(batches, settle, 0), ROWS)
+        done = runs.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(lambda batches: _by_part(batches, _gather, RESULT), "doc_id long, th long, codes array<long>")
+        levels.append(written(done, "repeats"))
+    every = levels[0]
+    for more in levels[1:]:
+        every = every.unionByName(more)
+    return with_codes(every.select("doc_id", "th", F.expr("filter(codes, c -> (c & 1) = 0)").alias("codes")).where("size(codes) > 0"))
+
+
+def _pieces(data, off, n):
+    """Whole documents in pieces of about ``STEP`` bytes; a longer document goes in overlapping pieces."""
+    i, count = 0, len(off) - 1
+    while i < count:
+        if off[i + 1] - off[i] > STEP:
+            for s in range(off[i], max(off[i] + 1, off[i + 1] - n + 1), STEP):
+                e = min(s + STEP + n - 1, off[i + 1])
+                yield np.array([i]), data[s:e], np.array([e - s]), np.array([s - off[i]])
+            i += 1
+            continue
+        j = i
+        while j < count and off[j + 1] - off[i] <= STEP:
+            j += 1
+        yield np.arange(i, j), data[off[i] : off[j]], off[i + 1 : j + 1] - off[i], np.zeros(j - i, np.int64)
+        i = j
+
+
+def _spans(data, off, lists, n):
+    """The bytes of the runs to refine, in pieces of about ``STEP`` bytes."""
+    codes, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(at))
+    codes = codes[at[0] : at[-1]]
+    take = (codes & 1) == 1
+    doc, start, size = doc[take], codes[take] >> 16, ((codes[take] & 0xFFFF) >> 1) + n - 1
+    begin = 0
+    while begin < len(doc):
+        stop = begin + max(1, int(np.searchsorted(np.cumsum(size[begin : begin + 50_000]), STEP, "right")))
+        own, s, z = doc[begin:stop], start[begin:stop], size[begin:stop]
+        ends = np.cumsum(z)
+        where = np.repeat(off[own] + s - (ends - z), z) + np.arange(ends[-1])
+        yield own, data[where], ends, s
+        begin = stop
 
 
 def removed_spans(codes: np.ndarray, n: int) -> np.ndarray:
@@ -390,8 +388,8 @@ def deduplicate(docs: DataFrame, n: int = 100, doc_id: str = "doc_id", text: str
         for batch in batches:
             data, off = _bytes_of(batch.column(1))
             out = [[], [], [], []]
-            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                codes = np.concatenate([x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64) for x in (a, b)])
+            for i, x in enumerate(batch.column(2)):
+                codes = x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64)
                 spans, body = removed_spans(codes, n), data[off[i] : off[i + 1]].tobytes()
                 keep, at = [], 0
                 for s, e in spans:
@@ -402,7 +400,7 @@ def deduplicate(docs: DataFrame, n: int = 100, doc_id: str = "doc_id", text: str
                     col.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    found = repeats(docs, n, doc_id, text).select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "text", "first", "second")
+    found = repeats(docs, n, doc_id, text).select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "text", "codes")
     return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
