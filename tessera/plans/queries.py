@@ -159,10 +159,10 @@ def _(s, d):
     return graphfeatures.entropies(i, applications(s, d)).select("relation", "app_id", r6("entropy").alias("entropy"))
 
 
-@query("nbr_stats", ", b AS (SELECT relation, node, app_id, amount AS v FROM inc JOIN apps USING (app_id) WHERE relation <> 'person'), n AS (SELECT relation, node, count(*) AS n, sum(v) AS s FROM b GROUP BY ALL), a AS (SELECT relation, app_id, any_value(v) AS v, sum(n - 1) AS w, sum(s - v) AS s FROM b JOIN n USING (relation, node) GROUP BY ALL) SELECT relation, app_id, round(CASE WHEN w > 0 THEN s / w ELSE 0 END, 6) + 0 AS nbr_mean, round(CASE WHEN w > 0 THEN v - s / w ELSE 0 END, 6) + 0 AS nbr_diff, CASE WHEN w > 0 THEN 1 ELSE 0 END AS has_nbr FROM a")
+@query("nbr_stats", ", b AS (SELECT relation, node, app_id, CAST(round(amount * 100) AS BIGINT)::DOUBLE AS v FROM inc JOIN apps USING (app_id) WHERE relation <> 'person'), n AS (SELECT relation, node, count(*) AS n, sum(v) AS s FROM b GROUP BY ALL), a AS (SELECT relation, app_id, any_value(v) AS v, sum(n - 1) AS w, sum(s - v) AS s FROM b JOIN n USING (relation, node) GROUP BY ALL) SELECT relation, app_id, CASE WHEN w > 0 THEN s / w ELSE 0 END AS nbr_mean, CASE WHEN w > 0 THEN v - s / w ELSE 0 END AS nbr_diff, CASE WHEN w > 0 THEN 1 ELSE 0 END AS has_nbr FROM a")
 def _(s, d):
-    n = graphfeatures.neighbour_stats(incidence(s, d).where("relation <> 'person'"), applications(s, d), "amount")
-    return n.select("relation", "app_id", r6("nbr_mean").alias("nbr_mean"), r6("nbr_diff").alias("nbr_diff"), "has_nbr")
+    n = graphfeatures.neighbour_stats(incidence(s, d).where("relation <> 'person'"), applications(s, d).withColumn("cents", F.round(F.col("amount") * 100).cast("long")), "cents")
+    return n.select("relation", "app_id", "nbr_mean", "nbr_diff", "has_nbr")
 
 
 def _components(s, d, cap=None):
