@@ -96,3 +96,16 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert "ring_score" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_guards_and_split(spark, tmp_path):
+    from tessera.sources.guards import validate_at_application, validate_observable, write_split
+
+    df = spark.createDataFrame([(1, 2.0, 5), (2, 3.0, -1)], "app_id long, amount double, ring_id long")
+    with pytest.raises(ValueError):
+        validate_observable(df)
+    with pytest.raises(ValueError):
+        validate_at_application(spark.createDataFrame([(1, 2)], "app_id long, max_dpd long"))
+    write_split(df, ["ring_id"], "app_id", str(tmp_path), "apps")
+    assert validate_observable(spark.read.parquet(f"{tmp_path}/raw/apps.parquet")).count() == 2
+    assert spark.read.parquet(f"{tmp_path}/labels/apps.parquet").columns == ["app_id", "ring_id"]
