@@ -2,32 +2,104 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def ranged(df: DataFrame, order: str, ranges: int = 255) -> DataFrame:
+    """Add ``__range``, the number of approximate quantiles of a numeric column that lie below its value (null: 0)."""
+    cuts = df.agg(F.percentile_approx(order, [i / (ranges + 1) for i in range(1, ranges + 1)], 1000).alias("__cuts"))
+    at = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order))), F.lit(0))
+    return df.crossJoin(F.broadcast(cuts)).withColumn("__range", at).drop("__cuts")  # one row
+
+
+def running(df: DataFrame, keys, order: str, columns, descending: bool = False) -> DataFrame:
+    """Add inclusive running sums ``run_<column>`` in the order of a numeric column, per ``keys``.
+
+    Rows must be distinct in ``keys`` and ``order``; a null ``order`` ranks lowest. The values are cut into ranges
+    at approximate quantiles: a task sorts one range, and the sums of the ranges before it (at most 256 rows a
+    key) are joined on. The result does not depend on where the cuts fall; a frame that went through ``ranged`` keeps its own.
+    """
+    keys = list(keys)
+    cut = df if "__range" in df.columns else ranged(df, order)
+    direction = F.desc if descending else F.asc
+    whole = Window.partitionBy(*keys).orderBy(direction("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    before = before.select(*keys, "__range", *[F.coalesce(F.sum(f"__{c}").over(whole), F.lit(0)).alias(f"__{c}") for c in columns])
+    inside = Window.partitionBy(*keys, "__range").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(before, [*keys, "__range"])
+    return out.select(*[c for c in df.columns if c != "__range"], *[(F.sum(c).over(inside) + F.col(f"__{c}")).alias(f"run_{c}") for c in columns])
+
+
+def precision_of_counts(counts: DataFrame, keys=()) -> DataFrame:
+    """Average precision ``ap`` from one row a distinct score: ``keys, score, p`` (positives) and ``n`` (all)."""
+    s = running(counts, keys, "score", ["p", "n"], descending=True)
+    return s.groupBy(*keys).agg(F.when(F.sum("p") > 0, F.sum(F.col("p") * F.col("run_p") / F.col("run_n")) / F.sum("p")).alias("ap"))
+
+
 def average_precision(df: DataFrame, keys=()) -> DataFrame:
     """Step-wise average precision with tied scores as one step, per ``keys``: ``ap``.
 
     One row a distinct score enters the running sums.
     """
-    keys = list(keys)
-    g = df.groupBy(*keys, "score").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    s = g.withColumn("tp", F.sum("p").over(w)).withColumn("at", F.sum("n").over(w))
-    return s.groupBy(*keys).agg(F.when(F.sum("p") > 0, F.sum(F.col("p") * F.col("tp") / F.col("at")) / F.sum("p")).alias("ap"))
+    return precision_of_counts(df.groupBy(*keys, "score").agg(F.sum("y").alias("p"), F.count("*").alias("n")), keys)
 
 
 def roc_auc(df: DataFrame) -> DataFrame:
     """Mann-Whitney area with average ranks: ``auc`` and the U statistic ``u``."""
     g = df.groupBy("score").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    r = g.withColumn("rank", F.sum("n").over(w) - F.col("n") + (F.col("n") + 1) / 2)
+    r = running(g, [], "score", ["n"]).withColumn("rank", F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2)
     t = r.agg(F.sum(F.col("rank") * F.col("p")).alias("rs"), F.sum("p").cast("double").alias("np"), F.sum(F.col("n") - F.col("p")).cast("double").alias("nn"))
     u = F.col("rs") - F.col("np") * (F.col("np") + 1) / 2
     return t.select(F.when((F.col("np") > 0) & (F.col("nn") > 0), u / (F.col("np") * F.col("nn"))).alias("auc"), u.alias("u"))
 
 
+def bootstrap(df: DataFrame, scores, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """Average precision of each score column in each replicate: ``replicate, model, ap``.
+
+    Poisson bootstrap: a row (``app_id, y``, scores) counts k times in a replicate, k drawn from Poisson(1)
+    by a hash of seed, replicate and id, so reruns agree and all scores see the same draws.
+    """
+    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", "app_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    tail, at, term = F.lit(0), 0.0, math.exp(-1)
+    for k in range(12):
+        at += term
+        tail, term = tail + (u >= at).cast("int"), term / (k + 1)
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).cast("double").alias("score")) for c in scores]))
+    flat = ranged(df.select("app_id", "y", pair.alias("m")).select("app_id", "y", "m.*"), "score")
+    drawn = flat.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", tail).where("k > 0")
+    counts = drawn.groupBy("replicate", "model", "score", "__range").agg(F.sum(F.col("y") * F.col("k")).alias("p"), F.sum("k").alias("n"))
+    return precision_of_counts(counts, ["replicate", "model"])
+
+
+def bootstrap_interval(samples: DataFrame) -> DataFrame:
+    """Mean and 95 % interval of each model over ``bootstrap`` rows; replicates without positives do not count."""
+    return samples.where("ap is not null").groupBy("model").agg(F.count("*").alias("replicates"), F.avg("ap").alias("mean"), F.percentile("ap", 0.025).alias("low"), F.percentile("ap", 0.975).alias("high"))
+
+
+def better_share(samples: DataFrame, old: str, new: str) -> DataFrame:
+    """Mean gain of ``new`` over ``old``, its 95 % interval, and the share of replicates with a gain."""
+    wide = samples.where("ap is not null").groupBy("replicate").pivot("model", [old, new]).agg(F.first("ap"))
+    gain = F.col(new) - F.col(old)
+    return wide.agg(F.avg(gain).alias("mean"), F.percentile(gain, 0.025).alias("low"), F.percentile(gain, 0.975).alias("high"), F.avg((gain > 0).cast("double")).alias("share_better"))
+
+
+def paired_t(df: DataFrame, old: str, new: str) -> DataFrame:
+    """Paired t over folds of two columns' average precision: ``folds, mean, t`` (null for a constant difference)."""
+    ap = lambda c: average_precision(df.select("fold", "y", F.col(c).alias("score")), ["fold"]).withColumnRenamed("ap", c)
+    d = ap(old).join(ap(new), "fold").select((F.col(new) - F.col(old)).alias("d")).where("d is not null")
+    return d.agg(F.count("*").alias("folds"), F.avg("d").alias("mean"), F.when(F.stddev_samp("d") > 0, F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("*")))).alias("t"))
+
+
+def cohen_d(df: DataFrame, columns) -> DataFrame:
+    """Difference of the means at y = 1 and y = 0 over the whole deviation, for each column: ``feature, d``."""
+    one = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns]))
+    flat = df.select("y", one.alias("m")).select("y", "m.*")
+    return flat.groupBy("feature").agg(((F.avg(F.when(F.col("y") == 1, F.col("v"))) - F.avg(F.when(F.col("y") == 0, F.col("v")))) / (F.stddev_pop("v") + 1e-12)).alias("d"))
+
+
 def recall_at(df: DataFrame, shares=(0.01, 0.05, 0.1)) -> DataFrame:
     """Recall among the top k = max(round-half-even(share * n), 1) by score, ties by ``app_id``."""
     tot = df.agg(F.count("*").alias("n"), F.sum("y").alias("p"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.evaluation import group_folds
 from tessera.sources.workdir import new_path, removed, written
 
 
@@ -51,3 +52,19 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     roots = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     lone = loops.join(cur.select(F.col("u").alias("node")).unionByName(cur.select(F.col("v").alias("node"))).distinct(), "node", "left_anti")
     return pairs.unionByName(roots).unionByName(lone.select("node", F.col("node").alias("component")))
+
+
+def component_folds(edges: DataFrame, vertices: DataFrame, folds: int, share: float = 0.5) -> tuple[DataFrame, bool]:
+    """Folds ``app_id, fold`` that keep components whole, and whether they could not.
+
+    ``edges`` holds ``src, dst``. When one component has more than ``share`` of the vertices, the group of a
+    vertex is floor(ln(1 + degree)), at most 63: a weaker promise, hence the second value.
+    """
+    comp = connected_components(edges, "src", "dst")
+    of = written(vertices.select("app_id").join(comp, F.col("app_id") == F.col("node"), "left").select("app_id", F.coalesce("component", "app_id").alias("group")), "fold-groups")
+    total, largest = of.count(), of.groupBy("group").count().agg(F.max("count")).first()[0] or 0
+    giant = largest > share * total
+    if giant:
+        deg = edges.select("src").union(edges.select("dst")).groupBy("src").agg(F.count("*").alias("d"))
+        of = vertices.select("app_id").join(deg, F.col("app_id") == F.col("src"), "left").select("app_id", F.least(F.floor(F.log1p(F.coalesce("d", F.lit(0)))), F.lit(63)).alias("group"))
+    return of.join(group_folds(of, folds), "group").select("app_id", "fold"), giant

@@ -522,3 +522,93 @@ def _(s, d):
     from tessera.streaming.burst import burst_alerts
 
     return burst_alerts(s.read.parquet(f"{d}/events.parquet"))
+
+
+@query("cohen_d", Y + ", f AS (SELECT app_id, unnest([{'feature': 'amount', 'v': amount}, {'feature': 'income', 'v': income}, {'feature': 'day', 'v': CAST(day AS DOUBLE)}], recursive := true) FROM apps) SELECT feature, round((avg(v) FILTER (WHERE y = 1) - avg(v) FILTER (WHERE y = 0)) / (stddev_pop(v) + 1e-12), 6) + 0 AS d FROM f JOIN y USING (app_id) GROUP BY feature")
+def _(s, d):
+    a = applications(s, d).withColumn("y", F.when(F.col("ring") > 0, 1).otherwise(0))
+    return evaluation.cohen_d(a, ["amount", "income", "day"]).select("feature", r6("d").alias("d"))
+
+
+def _two_scores(s, d):
+    a = applications(s, d).where("amount is not null")
+    return a.select("app_id", F.expr("cast(floor(app_id / 25) as long) % 5").alias("fold"), F.when(F.col("ring") > 0, 1).otherwise(0).alias("y"), "score", F.col("amount").alias("other"))
+
+
+_TWO = ", z AS (SELECT CAST(floor(app_id / 25.0) AS BIGINT) % 5 AS fold, CASE WHEN ring > 0 THEN 1 ELSE 0 END AS y, unnest([{'model': 'score', 'score': apps.score}, {'model': 'other', 'score': amount}], recursive := true) FROM apps WHERE amount IS NOT NULL), "
+
+
+@query("paired_t", _TWO + APSQL.format(k="fold, model,", t="z", w="PARTITION BY fold, model") + ", ap AS (SELECT fold, model, sum(p * tp / upto) / sum(p) AS ap FROM r GROUP BY ALL), df AS (SELECT a.ap - b.ap AS d FROM ap a JOIN ap b ON a.fold = b.fold AND a.model = 'other' AND b.model = 'score') SELECT count(*) AS folds, round(avg(d), 6) + 0 AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) + 0 AS t FROM df")
+def _(s, d):
+    return evaluation.paired_t(_two_scores(s, d), "score", "other").select("folds", r6("mean").alias("mean"), r6("t").alias("t"))
+
+
+@query("bootstrap_ci")
+def _(s, d):
+    return evaluation.bootstrap_interval(evaluation.bootstrap(_two_scores(s, d), ["score", "other"], replicates=200))
+
+
+_LAPC = ("co_device", "co_account", "co_person")
+
+
+@query("laplacian_quadratic", DEG + EDGES + ", c AS (SELECT relation, app_id, CAST(sum(nd - 1) AS BIGINT) AS co FROM inc JOIN nd USING (relation, node) GROUP BY ALL), x AS (SELECT a.app_id, " + ", ".join(f"coalesce(max(co) FILTER (WHERE relation = '{c[3:]}'), 0)::DOUBLE AS {c}" for c in _LAPC) + " FROM apps a LEFT JOIN c USING (app_id) GROUP BY a.app_id), q AS (SELECT weight, " + ", ".join(f"a.{c} - b.{c} AS {c}" for c in _LAPC) + " FROM ed JOIN x a ON a.app_id = src JOIN x b ON b.app_id = dst) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum(weight * {a} * {b}), 4) + 0 AS v FROM q" for a in _LAPC for b in _LAPC))
+def _(s, d):
+    from tessera.operators.models import laplacian_quadratic
+
+    m = laplacian_quadratic(_edges(s, d), _features(s, d), list(_LAPC))
+    return s.createDataFrame([(a, b, round(float(m[i, j]), 4)) for i, a in enumerate(_LAPC) for j, b in enumerate(_LAPC)], "a string, b string, v double")
+
+
+_MODEL_COLUMNS = ["amount", "income", "co_device", "co_account", "co_person"]
+
+
+def _oof(kind, **params):
+    def run(s, d):
+        from tessera.operators.models import out_of_fold
+
+        return out_of_fold(written(_features(s, d), "features"), _MODEL_COLUMNS, 3, kind, edges=written(_edges(s, d), "edges") if kind == "graph" else None, **params)
+
+    return run
+
+
+query("oof_gbt")(_oof("gbt", maxIter=20))
+query("oof_forest")(_oof("forest"))
+query("oof_graph_logistic")(_oof("graph"))
+
+
+@query("nested_selection")
+def _(s, d):
+    from tessera.operators.models import nested
+
+    return nested(written(_features(s, d), "features"), _MODEL_COLUMNS, 3, "logistic", [{"c": 0.01}, {"c": 1.0}])[0]
+
+
+@query("typology_holdout")
+def _(s, d):
+    from tessera.operators.models import held_out_groups
+
+    f = written(_features(s, d).withColumn("typology", F.when(F.col("ring") > 0, F.col("ring") % 4)), "features")
+    return held_out_groups(f, _MODEL_COLUMNS, "typology")
+
+
+@query("coldstart_draws")
+def _(s, d):
+    from tessera.operators.coldstart import evaluate
+
+    return evaluate(_edges(s, d), _y(applications(s, d)))
+
+
+@query("component_folds")
+def _(s, d):
+    from tessera.operators.components import component_folds
+
+    return component_folds(_edges(s, d), applications(s, d).select("app_id"), 5)[0]
+
+
+@query("labelled_graph", EDGES + ", k AS (SELECT app_id, row_number() OVER (ORDER BY app_id) - 1 AS node, CASE WHEN status = 'F' THEN 1 ELSE 0 END AS y FROM apps WHERE status <> 'P'), i AS (SELECT a.node AS s, b.node AS t FROM ed JOIN k a ON a.app_id = src JOIN k b ON b.app_id = dst), g AS (SELECT node, count(*) AS degree FROM (SELECT s AS node FROM i UNION ALL SELECT t FROM i) GROUP BY node) SELECT app_id, node, y, coalesce(degree, 0) AS degree FROM k LEFT JOIN g USING (node)")
+def _(s, d):
+    from tessera.sources.graphfiles import labelled_graph
+
+    nodes, edges = labelled_graph(applications(s, d).select("app_id", F.col("status").alias("label")), _edges(s, d), drop=("P",), positive=("F",))
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).groupBy("node").agg(F.count("*").alias("degree"))
+    return nodes.join(ends, "node", "left").select("app_id", "node", "y", F.coalesce("degree", F.lit(0)).alias("degree"))

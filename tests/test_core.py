@@ -1,10 +1,14 @@
 """Hand-computed fixtures of the core operators."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.functions.evaluation import average_precision, group_folds, roc_auc
-from tessera.operators import graphfeatures, linkage, rings
-from tessera.operators.components import connected_components
+from tessera.functions import evaluation
+from tessera.functions.evaluation import average_precision, group_folds, roc_auc, running
+from tessera.operators import coldstart, graphfeatures, linkage, models, rings
+from tessera.operators.components import component_folds, connected_components
+from tessera.sources import graphfiles
 
 APPS = [("a1", "p1", "d1", "c1", "L1", 0, 100.0, 0.9), ("a2", "p2", "d1", "c2", "L1", 5, 200.0, 0.8), ("a3", "p3", "d1", "c3", "L1", 20, 300.0, 0.2), ("a4", "p4", "d2", "c3", "L1", 25, 400.0, 0.7), ("a5", "p5", "d3", "c4", "L2", 100, 500.0, 0.1), ("a6", "p5", "d4", "c5", "L2", 101, 600.0, 0.3)]
 LINKS = [("a1", "g1"), ("a4", "g1"), ("a1", "g2")]
@@ -109,3 +113,115 @@ def test_guards_and_split(spark, tmp_path):
     write_split(df, ["ring_id"], "app_id", str(tmp_path), "apps")
     assert validate_observable(spark.read.parquet(f"{tmp_path}/raw/apps.parquet")).count() == 2
     assert spark.read.parquet(f"{tmp_path}/labels/apps.parquet").columns == ["app_id", "ring_id"]
+
+
+def step_ap(y, score):
+    """Average precision of few rows, ties as one step."""
+    got, tp, at, total = 0.0, 0, 0, sum(y)
+    for v in sorted(set(score), reverse=True):
+        p = sum(a for a, b in zip(y, score, strict=True) if b == v)
+        tp, at = tp + p, at + score.count(v)
+        got += p * tp / at
+    return got / total
+
+
+def test_running_sums_over_many_ranges(spark):
+    rows = [(k, float(v), (v * 7 + k) % 5) for k in (0, 1) for v in range(600)] + [(0, None, 3)]
+    df = spark.createDataFrame(rows, "k int, v double, c long")
+    for down in (False, True):
+        got = {(r["k"], r["v"]): r["run_c"] for r in running(df, ["k"], "v", ["c"], descending=down).collect()}
+        for k in (0, 1):
+            mine = sorted((r for r in rows if r[0] == k), key=lambda r: -1.0 if r[1] is None else r[1], reverse=down)
+            total = 0
+            for _, v, c in mine:
+                total += c
+                assert got[k, v] == total
+    assert running(df.where("v > 1000"), ["k"], "v", ["c"]).count() == 0
+    assert average_precision(df.where("k > 5").select(F.col("c").alias("y"), F.col("v").alias("score"))).first()["ap"] is None
+
+
+def test_bootstrap_agrees_with_resampling(spark):
+    rng = np.random.default_rng(3)
+    y = (rng.random(300) < 0.2).astype(int)
+    rows = [(i, int(v), float(round(v + rng.normal(), 1)), float(rng.integers(0, 4))) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "app_id long, y int, good double, poor double")
+    draws = evaluation.bootstrap(df, ["good", "poor"], replicates=150)
+    ci = {r["model"]: r for r in evaluation.bootstrap_interval(draws).collect()}
+    ap = []
+    for _ in range(150):
+        pick = rng.integers(0, 300, 300)
+        ap.append(step_ap([rows[i][1] for i in pick], [rows[i][2] for i in pick]))
+    assert ci["good"]["replicates"] == 150
+    assert ci["good"]["mean"] == pytest.approx(np.mean(ap), abs=0.03)
+    assert ci["good"]["high"] - ci["good"]["low"] == pytest.approx(np.percentile(ap, 97.5) - np.percentile(ap, 2.5), rel=0.35)
+    gain = evaluation.better_share(draws, "poor", "good").first()
+    assert gain["share_better"] > 0.9 and gain["mean"] > 0
+
+
+def test_graph_logistic_equals_a_dense_solution(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 2))
+    y = (x[:, 0] + rng.normal(size=60) > 0.8).astype(float)
+    pairs = [(i, (i * 7 + 1) % 60, 1 + i % 3) for i in range(60) if i != (i * 7 + 1) % 60]
+    rows = spark.createDataFrame([(i, float(y[i]), *map(float, x[i])) for i in range(60)], "app_id long, y double, u double, v double")
+    edges = spark.createDataFrame([*pairs, (0, 999, 1)], "src long, dst long, weight long")
+    m = sum(w * np.outer(x[i] - x[j], x[i] - x[j]) for i, j, w in pairs)
+    assert np.allclose(models.laplacian_quadratic(edges, rows, ["u", "v"]), m)
+    w = models.graph_logistic(rows, ["u", "v"], edges, lam=0.5)
+    p = 1 / (1 + np.exp(-x @ w))
+    r = np.where(y == 1, 30 / y.sum(), 30 / (60 - y.sum()))
+    assert np.allclose(x.T @ (r * (p - y)) + 0.5 * m @ w, 0, atol=1e-4)
+
+
+def test_models_under_folds(spark):
+    rows = spark.createDataFrame([(i, i % 3, float(i % 2), float(i % 2) + (i % 7) / 10, 1.0) for i in range(60)], "app_id long, fold int, y double, a double, b double")
+    edges = spark.createDataFrame([(i, i + 2, 1) for i in range(58)], "src long, dst long, weight long")
+    for kind, extra in (("logistic", {}), ("graph", {}), ("forest", {}), ("gbt", {"maxIter": 3})):
+        got = models.out_of_fold(rows, ["a", "b"], 3, kind, edges=edges, **extra)
+        assert got.count() == 60
+        assert average_precision(got).first()["ap"] == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        models.out_of_fold(rows, ["a"], 3, "none")
+    got, picked = models.nested(rows, ["a", "b"], 3, "logistic", [{"c": 1.0}, {"c": 0.5}])
+    assert got.count() == 60 and picked == [{"c": 1.0}] * 3
+    one_class = models.out_of_fold(rows.withColumn("y", F.lit(0.0)), ["a", "b"], 3)
+    assert {r["score"] for r in one_class.collect()} == {0.0}
+
+
+def test_coldstart_matches_dense_iteration(spark):
+    pairs = [(0, 1, 2), (1, 2, 1), (2, 3, 1), (4, 5, 1)]
+    edges = spark.createDataFrame(pairs, "src long, dst long, weight long")
+    seeds = spark.createDataFrame([(0, 0), (0, 4), (1, 2)], "draw int, app_id long")
+    a = np.zeros((6, 6))
+    for i, j, w in pairs:
+        a[i, j] = a[j, i] = w
+    got = {(r["draw"], r["app_id"]): r["rank"] for r in coldstart.spread(edges, seeds, iterations=12, cut=5).collect()}
+    for draw, at in ((0, [0, 4]), (1, [2])):
+        s = np.zeros(6)
+        s[at] = 1 / len(at)
+        r = s.copy()
+        for _ in range(12):
+            r = 0.85 * a.T @ (r / a.sum(1)) + 0.15 * s
+        assert [got.get((draw, i), 0.0) for i in range(6)] == pytest.approx(list(r), abs=1e-12)
+    labelled = spark.createDataFrame([(i, int(i in (0, 1, 3))) for i in range(6)], "app_id long, y int")
+    out = coldstart.evaluate(edges, labelled, counts=(1, 2), repeats=4, iterations=5).collect()
+    assert {r["k"]: r["draws"] for r in out} == {1: 4, 2: 4}
+
+
+def test_component_folds(spark):
+    v = spark.range(10).select(F.col("id").alias("app_id"))
+    small = spark.createDataFrame([(0, 1), (2, 3)], "src long, dst long")
+    folds, giant = component_folds(small, v, 2)
+    got = {r["app_id"]: r["fold"] for r in folds.collect()}
+    assert not giant and len(got) == 10 and got[0] == got[1] and got[2] == got[3]
+    folds, giant = component_folds(spark.createDataFrame([(0, i) for i in range(1, 8)], "src long, dst long"), v, 2)
+    assert giant and folds.count() == 10
+
+
+def test_graph_files(spark, tmp_path):
+    np.savez(tmp_path / "g.npz", edge_index=np.array([[0, 1, 2, 2, 3], [1, 0, 2, 3, 4]]), y=np.array([1, 2, 0, 1, 1]))
+    edges = graphfiles.npz_edges(spark, str(tmp_path / "g.npz"), rows=2)
+    assert {tuple(r) for r in graphfiles.simple_edges(edges, edges).collect()} == {(0, 1, 1), (2, 3, 1), (3, 4, 1)}
+    nodes, kept = graphfiles.labelled_graph(graphfiles.npz_labels(spark, str(tmp_path / "g.npz")), edges)
+    assert {tuple(r) for r in nodes.collect()} == {(0, 0, 1), (1, 1, 0), (3, 2, 1), (4, 3, 1)}
+    assert {tuple(r) for r in kept.collect()} == {(0, 1, 1), (2, 3, 1)}
