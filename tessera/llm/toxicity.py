@@ -186,8 +186,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, doc_id: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string()), *[batch.column(i + 2) for i in range(len(names))]], names=["__id", "words", *[f"__y{i}" for i in range(len(names))]])
 
     picked = rows.select("__id", "__text", *[f"__y{i}" for i in range(len(names))]).mapInArrow(run, "__id long, words string, " + ", ".join(f"__y{i} int" for i in range(len(names))))
-    sample = sorted(picked.collect(), key=lambda r: (r[0], r[1]))
-    return fit_chain(((r[0], features_of(set(r[1].split())), r[2:]) for r in sample), names, folds=folds)
+    sample = sorted(picked.collect(), key=lambda r: (r[0], r[1]), reverse=True)
+
+    def one_by_one():  # a row's words go as soon as they are numbered
+        while sample:
+            r = sample.pop()
+            yield r[0], features_of(set(r[1].split())), r[2:]
+
+    return fit_chain(one_by_one(), names, folds=folds)
 
 
 def classify(docs: DataFrame, chain: list[Link], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
