@@ -612,3 +612,11 @@ def _(s, d):
     nodes, edges = labelled_graph(applications(s, d).select("app_id", F.col("status").alias("label")), _edges(s, d), drop=("P",), positive=("F",))
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).groupBy("node").agg(F.count("*").alias("degree"))
     return nodes.join(ends, "node", "left").select("app_id", "node", "y", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+@query("generated_portfolio")
+def _(s, d):
+    from tessera.sources.portfolio import generate
+
+    t = generate(s)
+    return t["applications"].join(t["application_labels"], "application_id")

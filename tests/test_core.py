@@ -8,7 +8,7 @@ from tessera.functions import evaluation
 from tessera.functions.evaluation import average_precision, group_folds, roc_auc, running
 from tessera.operators import coldstart, graphfeatures, linkage, models, rings
 from tessera.operators.components import component_folds, connected_components
-from tessera.sources import graphfiles
+from tessera.sources import graphfiles, portfolio
 
 APPS = [("a1", "p1", "d1", "c1", "L1", 0, 100.0, 0.9), ("a2", "p2", "d1", "c2", "L1", 5, 200.0, 0.8), ("a3", "p3", "d1", "c3", "L1", 20, 300.0, 0.2), ("a4", "p4", "d2", "c3", "L1", 25, 400.0, 0.7), ("a5", "p5", "d3", "c4", "L2", 100, 500.0, 0.1), ("a6", "p5", "d4", "c5", "L2", 101, 600.0, 0.3)]
 LINKS = [("a1", "g1"), ("a4", "g1"), ("a1", "g2")]
@@ -225,3 +225,30 @@ def test_graph_files(spark, tmp_path):
     nodes, kept = graphfiles.labelled_graph(graphfiles.npz_labels(spark, str(tmp_path / "g.npz")), edges)
     assert {tuple(r) for r in nodes.collect()} == {(0, 0, 1), (1, 1, 0), (3, 2, 1), (4, 3, 1)}
     assert {tuple(r) for r in kept.collect()} == {(0, 1, 1), (2, 3, 1)}
+
+
+def test_portfolio(spark, tmp_path):
+    p = portfolio.Profile(persons=3000, dealers=120)
+    t = {k: v.cache() for k, v in portfolio.generate(spark, p).items()}
+    apps, labels = t["applications"], t["application_labels"]
+    n = apps.count()
+    assert apps.select("application_id").distinct().count() == n == labels.count()
+    bad = labels.where("ring_id > 0").count() / n
+    assert 0.01 < bad < 0.07
+    for child, key, parent, other in (("applications", "person_id", "persons", "person_id"), ("applications", "device_id", "devices", "device_id"), ("applications", "account_id", "accounts", "account_id"), ("applications", "dealer_id", "dealers", "dealer_id"), ("guarantor_links", "guarantor_person_id", "persons", "person_id"), ("emi_schedule", "application_id", "applications", "application_id")):
+        assert t[child].select(F.col(key).alias("k")).join(t[parent].select(F.col(other).alias("k")), "k", "left_anti").count() == 0, child
+    assert t["persons"].select("person_id").distinct().count() == t["persons"].count() == t["person_identity_truth"].count()
+    sizes = [r[0] for r in t["persons"].where("household_id >= 0 and not endswith(person_id, 'b')").groupBy("household_id").count().select("count").collect()]
+    assert min(sizes) == 1 and max(sizes) == 5
+    share = apps.where("product = 'two_wheeler'").count() / n
+    assert abs(share - 0.46) < 0.05
+    kiosk = apps.where(F.col("device_id").startswith("kio")).count() / n
+    assert abs(kiosk - 0.14) < 0.04
+    self_links = t["guarantor_links"].join(apps, "application_id").where("guarantor_person_id = person_id").count()
+    assert self_links == 0
+    miss = {r["bad"]: r["m"] for r in t["emi_schedule"].join(labels, "application_id").groupBy((F.col("ring_id") > 0).alias("bad")).agg(F.avg("missed").alias("m")).collect()}
+    assert miss[True] > 2 * miss[False] > 0
+    again = portfolio.generate(spark, p)["applications"]
+    assert again.exceptAll(apps).count() == 0
+    with pytest.raises(ValueError):
+        portfolio.generate(spark, portfolio.Profile(typologies=("none",)))
