@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, linededup, mixing, simhash, toxicity
+from tessera.llm import decontam, linededup, mixing, neardup, toxicity
 from tessera.sources.workdir import written
 
 
@@ -26,8 +26,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of texts whose five-word shingles are at least 0.8 similar stays."""
+    return neardup.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, htmltext, knn, linededup, mixing, pii, simhash, substrings, toxicity, warc
+from tessera.llm import decontam, htmltext, knn, linededup, mixing, neardup, pii, simhash, substrings, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -167,3 +167,27 @@ def test_substrings_match_brute_force(spark):
         want[i] = (len(b), int(cover.sum()), runs, hashlib.sha256(bytes(x for x, c in zip(b, cover, strict=True) if not c)).hexdigest())
     got = {r["doc_id"]: tuple(r)[1:] for r in substrings.op10_bytes(docs_of(spark, texts)).collect()}
     assert got == want
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [words(rng, rng.randint(120, 200)) for _ in range(30)]
+    for i in range(40):  # copies with one to nine changed words, some far from the threshold, some near it
+        w = texts[rng.randrange(len(texts))].split()
+        for k in rng.sample(range(len(w)), rng.randint(1, 9)):
+            w[k] = "zz%d" % i
+        texts.append(" ".join(w))
+    texts += [texts[0], None, "", "One two", "one  TWO"]
+    sets = [set(neardup.shingle_set(t).tolist()) for t in texts]
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                comp = [min(comp[i], comp[j]) if c in (comp[i], comp[j]) else c for c in comp]
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, texts), "").collect()}
+    assert kept == set(comp) and len(kept) < 60
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(spark, texts), block=4).collect()}
+    assert got == dict(enumerate(comp))
+    assert neardup.one_of_each(docs_of(spark, texts).limit(0)).count() == 0
