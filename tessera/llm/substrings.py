@@ -128,11 +128,12 @@ def _bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _code(start, length, kind):
-    return (start << 16) | (length << 1) | kind
+    """31 bits of start, 31 of length and the kind: joined runs may be of any length within a document."""
+    return (start << 32) | (length << 1) | kind
 
 
 def _merged(d, start, length, kind):
-    """Codes of runs, neighbouring ones of a document joined (to at most 32,000 strings)."""
+    """Codes of runs, neighbouring ones of a document joined (cut at about every 30,000 strings, to bound the pieces of ``_spans``)."""
     order = np.lexsort((start, d))
     d, start, length = d[order], start[order], length[order]
     if not len(d):
@@ -193,7 +194,7 @@ def _gather(blobs):
     rank = _ranked(ids, ths, d)
     docs, at = np.unique(rank, return_index=True)
     kind = codes & 1
-    parts = [_merged(rank[m], codes[m] >> 16, (codes[m] & 0xFFFF) >> 1, k) for k in (0, 1) if (m := kind == k).any()]
+    parts = [_merged(rank[m], codes[m] >> 32, (codes[m] & 0xFFFFFFFF) >> 1, k) for k in (0, 1) if (m := kind == k).any()]
     r, c = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(r, kind="stable")
     cuts = np.searchsorted(r[order], np.append(docs, docs[-1] + 1))
@@ -267,7 +268,7 @@ def _settle_runs(ids, ths, d, start, length, anchor, name, foreign):
 def repeats(docs: DataFrame, n: int = 100, doc_id: str = "doc_id", text: str = "text", part_bytes: int = 24 << 20) -> DataFrame:
     """Return ``doc_id, th, text, codes`` with the codes of repeated runs of every document.
 
-    ``codes`` holds, for each run of starts: start * 65536 + length * 2 (+ 1 for
+    ``codes`` holds, for each run of starts: start * 2**32 + length * 2 (+ 1 for
     runs that a later level settled). Each level is written to the shared folder.
     """
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
@@ -350,7 +351,7 @@ def _spans(data, off, lists, n):
     doc = np.repeat(np.arange(len(off) - 1), np.diff(at))
     codes = codes[at[0] : at[-1]]
     take = (codes & 1) == 1
-    doc, start, size = doc[take], codes[take] >> 16, ((codes[take] & 0xFFFF) >> 1) + n - 1
+    doc, start, size = doc[take], codes[take] >> 32, ((codes[take] & 0xFFFFFFFF) >> 1) + n - 1
     begin = 0
     while begin < len(doc):
         stop = begin + max(1, int(np.searchsorted(np.cumsum(size[begin : begin + 50_000]), STEP, "right")))
@@ -366,7 +367,7 @@ def removed_spans(codes: np.ndarray, n: int) -> np.ndarray:
     codes = codes[(codes & 1) == 0]
     if not len(codes):
         return np.zeros((0, 2), np.int64)
-    s, e = codes >> 16, (codes >> 16) + ((codes & 0xFFFF) >> 1) + n - 1
+    s, e = codes >> 32, (codes >> 32) + ((codes & 0xFFFFFFFF) >> 1) + n - 1
     order = np.argsort(s, kind="stable")
     s, e = s[order], np.maximum.accumulate(e[order])
     new = np.concatenate([[True], s[1:] > e[:-1]])

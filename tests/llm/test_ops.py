@@ -191,3 +191,27 @@ def test_pipeline_drops_edited_copies(spark):
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(spark, texts), block=4).collect()}
     assert got == dict(enumerate(comp))
     assert neardup.one_of_each(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_long_repeated_runs_keep_their_length(spark):
+    d, start, length = np.zeros(3, np.int64), np.array([1, 20_001, 20_301]), np.array([20_000, 300, 20_000])
+    blobs = [b["blob"][0].as_py() for i in range(3) for b in substrings._packed(np.zeros(1, np.int64), np.array([5]), np.array([6]), d[:1], [substrings._code(start[i : i + 1], length[i : i + 1], 0)])]
+    (row,) = substrings._gather(blobs)
+    codes = row["codes"][0].values.to_numpy()
+    covered = {p for s, e in substrings.removed_spans(codes, 100).tolist() for p in range(s, e)}
+    assert covered == set(range(1, 1 + 40_300 + 99))
+    rng = random.Random(9)
+    long, middle = "".join(rng.choices("abcdefghij \n", k=1_150_000)), "".join(rng.choices("klmnop", k=70_000))
+    texts = [long, middle[:20_100] + "x" + middle[20_300:45_000], middle, "y" + middle + long[300_000:380_000] + "z", long[:700_000] + "q" + long[700_000:]]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        cover = np.zeros(len(t) + 1, int)
+        for p in range(len(t) - 99):
+            g = hash(t[p : p + 100])
+            if g in seen:
+                cover[p] += 1
+            seen.add(g)
+        inside = np.convolve(cover[:-1], np.ones(100, int))[: len(t)] > 0
+        want[i] = (len(t), int(inside.sum()), int((np.diff(np.concatenate([[0], inside.astype(int)])) == 1).sum()), hashlib.sha256(np.frombuffer(t.encode(), np.uint8)[~inside].tobytes()).hexdigest())
+    got = {r["doc_id"]: tuple(r)[1:] for r in substrings.op10_bytes(docs_of(spark, texts)).collect()}
+    assert got == want
