@@ -139,21 +139,23 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def confident_patterns(occ: DataFrame, rounds: int = 3, min_score: float = 0.8, min_seeds: int = 5) -> DataFrame:
     """Score patterns against instances; returns ``kind, ctx`` of the patterns to trust.
 
-    A pattern scores the mean of its distinct instances' scores, if at least
-    ``min_seeds`` of them are seeds; an instance that is no seed scores as its
-    best pattern did in the round before (0 at first). Both sides are grouped
-    aggregates over (pattern, instance) edges.
+    A pattern scores the mean of its distinct instances' scores. A seed scores 1,
+    another instance as its best admitted pattern did in the round before (0 at
+    first). Each round admits the patterns whose instances' scores sum to at least
+    ``min_seeds`` and average at least 0.5, so instances of admitted patterns count
+    as seeds, by their score, for the next ones. Both sides are grouped aggregates
+    over (pattern, instance) edges.
     """
     edges = written(occ.groupBy("kind", "ctx", "inst").agg(F.max("seed").alias("seed")), "pii-edges")
-    # Only contexts that have enough seeds can ever be trusted.
-    strong = edges.where("seed").groupBy("kind", "ctx").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds).select("kind", "ctx")
-    edges = written(edges.join(strong, ["kind", "ctx"]), "pii-strong")
-    score = edges.select("kind", "inst", F.col("seed").cast("double").alias("s")).groupBy("kind", "inst").agg(F.max("s").alias("s"))
+    # No instance scores above 1, so only contexts with enough instances can ever be admitted.
+    wide = edges.groupBy("kind", "ctx").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("kind", "ctx")
+    edges = written(edges.join(wide, ["kind", "ctx"]), "pii-wide")
+    score = edges.groupBy("kind", "inst").agg(F.max(F.col("seed").cast("double")).alias("s"))
     for _ in range(rounds):
-        patterns = edges.join(score, ["kind", "inst"]).groupBy("kind", "ctx").agg(F.avg("s").alias("p"))
-        score = edges.join(patterns, ["kind", "ctx"]).groupBy("kind", "inst").agg(F.greatest(F.max(F.col("seed").cast("double")), F.max("p")).alias("s"))
-    first = edges.groupBy("kind", "ctx").agg(F.avg(F.col("seed").cast("double")).alias("precision"))
-    return patterns.join(first, ["kind", "ctx"]).where((F.col("p") >= min_score) & (F.col("precision") >= 0.5)).select("kind", "ctx")
+        sums = edges.join(score, ["kind", "inst"]).groupBy("kind", "ctx").agg(F.sum("s").alias("support"), F.avg("s").alias("p"))
+        patterns = sums.where((F.col("support") >= min_seeds) & (F.col("p") >= 0.5)).select("kind", "ctx", "p")
+        score = edges.join(patterns, ["kind", "ctx"], "left").groupBy("kind", "inst").agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("p"), F.lit(0.0))).alias("s"))
+    return patterns.where(F.col("p") >= min_score).select("kind", "ctx")
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -215,3 +215,13 @@ def test_long_repeated_runs_keep_their_length(spark):
         want[i] = (len(t), int(inside.sum()), int((np.diff(np.concatenate([[0], inside.astype(int)])) == 1).sum()), hashlib.sha256(np.frombuffer(t.encode(), np.uint8)[~inside].tobytes()).hexdigest())
     got = {r["doc_id"]: tuple(r)[1:] for r in substrings.op10_bytes(docs_of(spark, texts)).collect()}
     assert got == want
+
+
+def test_pii_second_generation_pattern(spark):
+    seeds = [f"please ring me +1 555 010 9{i:03d}" for i in range(30)]
+    first = [f"so ring me 55501017{i:02d} now" for i in range(10)]
+    second = [f"or dial at 55501017{i:02d} now" for i in range(10)]
+    rows = pii.op9_spans(docs_of(spark, [*seeds, *first, *second, "or dial at 5550109999 now", "we met on 5550109998 now"])).collect()
+    got = {r["doc_id"]: r["spans"] for r in rows}
+    assert got[30] == "phone:11:21" and got[40] == "phone:11:21"
+    assert got[50] == "phone:11:21" and got[51] == ""
