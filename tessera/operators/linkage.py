@@ -56,13 +56,22 @@ def skeleton(name):
     return F.substring(F.translate(F.regexp_replace(F.lower(name), "[^a-z]", ""), "eiou", "aaaa"), 1, 6)
 
 
-def block_pairs(rec: DataFrame, keys: list, cap: int = 2000) -> DataFrame:
-    """Candidate pairs ``a < b`` that share a blocking key; of a block above ``cap`` the rows with the smallest id hash stay."""
+def block_pairs(rec: DataFrame, keys: list, cap: int | None = None, block: int = 2000) -> DataFrame:
+    """Candidate pairs ``a < b`` that share a blocking key.
+
+    A key above ``block`` rows is dealt over pairs of sub-blocks, so that no task has a whole large key and no pair
+    is left out. Only with ``cap`` (the reference's rule) do the rows with the smallest id hash alone stay.
+    """
     from pyspark.sql import Window
 
     k = rec.select("id", F.explode(F.array(*keys)).alias("key")).where("key is not null")
-    k = k.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.expr("(id * 2654435761) % 4294967296"), "id"))).where(F.col("r") <= cap)
-    return k.select(F.col("id").alias("a"), "key").join(k.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
+    if cap is not None:
+        k = k.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.expr("(id * 2654435761) % 4294967296"), "id"))).where(F.col("r") <= cap)
+    big = k.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("subs"))
+    dealt = k.select("id", "key").join(big, "key", "left").withColumn("subs", F.coalesce("subs", F.lit(1))).withColumn("s", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    left, right = dealt.select(F.col("id").alias("a"), "key", F.col("s").alias("i"), F.col("o").alias("j")), dealt.select(F.col("id").alias("b"), "key", F.col("o").alias("i"), F.col("s").alias("j"))
+    return left.join(right, ["key", "i", "j"]).where("a < b").select("a", "b").distinct()
 
 
 def level_columns(pairs: DataFrame, rec: DataFrame, names: list[str], exact: list[str]) -> DataFrame:

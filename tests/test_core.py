@@ -252,3 +252,13 @@ def test_portfolio(spark, tmp_path):
     assert again.exceptAll(apps).count() == 0
     with pytest.raises(ValueError):
         portfolio.generate(spark, portfolio.Profile(typologies=("none",)))
+
+
+def test_block_above_2000_rows_keeps_all_pairs(spark):
+    from tessera.operators.linkage import block_pairs
+
+    rec = spark.range(2105).select("id", F.lit("k").alias("key"), (F.col("id") % 900).cast("string").alias("other"))
+    keys = [F.col("key"), F.col("other")]
+    assert block_pairs(rec, keys).count() == 2105 * 2104 // 2
+    assert block_pairs(rec, keys, block=100).count() == 2105 * 2104 // 2
+    assert block_pairs(rec, keys[:1], cap=50).count() == 50 * 49 // 2
