@@ -1,12 +1,14 @@
-"""Near-duplicate components by exact shingle similarity.
+"""Near-duplicate components of five-word shingles: SimHash with bit-sliced comparison, verified exactly.
 
 Two texts are linked if the sets of their five-word shingles have a Jaccard
-similarity of at least 0.8. At that similarity the expected distance of 64-bit
-SimHashes is about 10 bits, too far for selective blocks of their bits. So
-candidates share one of 28 bands of five MinHash values: a pair at the
-threshold has all bands apart in some 2 of 100,000 cases. A 128-bit sketch (one
-bit a MinHash value, 13 bits apart at the threshold, 32 allowed) and the set
-sizes thin the candidates; those left are verified by their exact similarity.
+similarity of at least 0.8. At that similarity the expected distance of their
+64-bit SimHashes is about 10 bits (deviation 3), so the comparison allows 20.
+Twenty-one blocks of a fingerprint are 3 or 4 bits each, too few to choose
+whom to compare; that is left to 28 bands of five MinHash values, in which a
+pair at the threshold has all bands apart in some 2 of 100,000 cases. Inside a
+bucket the fingerprints stand in bit planes, and carry-save counters add up the
+distances of one row to all the others at once (see ``simhash``). Pairs within
+the radius are verified by their exact similarity.
 
 First every band bucket is compared with its smallest node only. Then all pairs
 of a bucket that are not yet in one component follow, so none is left out and a
@@ -21,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.simhash import near, planes, without_copies
 from tessera.operators.components import connected_components
 from tessera.sources.workdir import written
 
-BANDS, ROWS, SKETCH = 28, 5, 32
+BANDS, ROWS, RADIUS = 28, 5, 20
 _RNG = np.random.default_rng(20261)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-TRAITS = ["node", "n", "k1", "k2"]
+TRAITS = ["node", "n", "fp"]
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -41,31 +43,31 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(width)), strict=False)], dtype=np.uint64))
 
 
-def signature(h: np.ndarray, step: int = 1024) -> tuple[list[int], int, int]:
-    """Band names and the two halves of the sketch of a shingle set, as signed longs."""
-    low = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+def signature(h: np.ndarray, step: int = 1024) -> tuple[list[int], int]:
+    """Band names and SimHash of a shingle set, as signed longs."""
+    low, ones = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(64, np.int64)
     for at in range(0, len(h), step):
-        low = np.minimum(low, (h[at : at + step, None] * _A + _B).min(axis=0))
+        part = h[at : at + step]
+        low = np.minimum(low, (part[:, None] * _A + _B).min(axis=0))
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     keys = np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(low.reshape(BANDS, ROWS))], dtype=np.uint64)
-    k1, k2 = np.packbits(((low[:128] * _MIX) >> np.uint64(63)).astype(np.uint8)).view(np.int64)
-    return keys.view(np.int64).tolist(), int(k1), int(k2)
+    return keys.view(np.int64).tolist(), int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
 def _signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            n, k1, k2, keys = [], [], [], []
+            n, fps, keys = [], [], []
             for t in batch.column(2):
                 h = shingle_set(t.as_py(), width)
-                bands, a, b = signature(h)
+                bands, fp = signature(h)
                 n.append(len(h))
-                k1.append(a)
-                k2.append(b)
+                fps.append(fp)
                 keys.append(bands)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", *TRAITS, "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", *TRAITS, "keys"])
 
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t), t).mapInArrow(run, "doc_id long, node long, n long, k1 long, k2 long, keys array<long>")
+    t = F.coalesce(docs[text].cast("string"), F.lit(""))
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(t), t).mapInArrow(run, "doc_id long, node long, n long, fp long, keys array<long>")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, text: str, width: int, threshold: float) -> DataFrame:
@@ -77,7 +79,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, text: str, width: int, threshold
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hs"])
 
     pairs = written(pairs, "neardup-pairs")
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    t = F.coalesce(docs[text].cast("string"), F.lit(""))
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.xxhash64(t).alias("node"), t.alias("t")).join(asked, "node", "left_semi")
     sets = written(texts.mapInArrow(run, "node long, hs array<long>").dropDuplicates(["node"]), "neardup-sets")
@@ -86,19 +88,22 @@ def _similar(pairs: DataFrame, docs: DataFrame, text: str, width: int, threshold
     return written(shared.where(F.col("s") >= F.lit(threshold) * (F.col("t") - F.col("s"))).select("a", "b"), "neardup-links")
 
 
-def _across(node, comp, n, k1, k2, threshold):
+def _across(node, comp, n, fp, threshold):
     """Pairs of a bucket that lie in different components and may reach the threshold."""
     _, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
     if len(counts) < 2:
         return
+    # Rows of the largest component come last and are never compared with one another.
     rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable")[inverse]
     order = np.argsort(rank, kind="stable")
-    node, rank, n, k1, k2 = (x[order] for x in (node, rank, n, k1, k2))
+    node, rank, n, fp = (x[order] for x in (node, rank, n, fp))
+    rows = planes(fp.view(np.uint64))
     for i in range(int(np.searchsorted(rank, rank[-1]))):
-        lo = int(np.searchsorted(rank, rank[i], "right"))
-        apart = np.bitwise_count((k1[lo:] ^ k1[i]).view(np.uint64)).astype(np.int64) + np.bitwise_count((k2[lo:] ^ k2[i]).view(np.uint64))
-        hit = node[lo:][(apart <= SKETCH) & (np.minimum(n[lo:], n[i]) >= threshold * np.maximum(n[lo:], n[i]))]
-        if len(hit):
+        fits = (rank > rank[i]) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]))
+        valid = int.from_bytes(np.packbits(fits, bitorder="little").tobytes(), "little")
+        found = near(rows, int(fp[i]), valid, RADIUS) if valid else 0
+        if found:
+            hit = node[np.flatnonzero(np.unpackbits(np.frombuffer(found.to_bytes((len(n) + 7) // 8, "little"), np.uint8), bitorder="little"))]
             yield np.minimum(hit, node[i]), np.maximum(hit, node[i])
 
 
@@ -110,7 +115,7 @@ def _rest(keyed: DataFrame, comp: DataFrame, threshold: float, block: int) -> Da
     known = keyed.join(comp.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = known.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key", F.ceil(F.col("rows") / block).cast("int").alias("subs"))
     dealt = known.join(mixed, "key").withColumn("s", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int"))
-    spread = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select("key", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "node", "comp", "n", "k1", "k2")
+    spread = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select("key", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "node", "comp", "n", "fp")
 
     def run(batches):
         held = None
@@ -136,34 +141,29 @@ def _rest(keyed: DataFrame, comp: DataFrame, threshold: float, block: int) -> Da
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5, block: int = 2048) -> DataFrame:
-    """Return ``doc_id, component_id`` for every row.
+    """Return ``doc_id, th, component, component_id`` for every row.
 
     Texts whose shingle sets are at least ``threshold`` similar are linked;
     ``component_id`` is the smallest id reachable. Equal texts (named by 64 bits)
-    are one node; null and empty texts are equal. Rows with a null id keep
-    their row and their component; a component of null ids alone has a null id.
-    An empty table gives an empty result.
+    are one node; null and empty texts are equal. Repeated rows and rows with a
+    null id keep their row and their component; a component of null ids alone
+    has a null id. Texts may be of any length, other columns of any name. An
+    empty table gives an empty result.
     """
     base = written(_signatures(docs, doc_id, text, width), "neardup")
     keyed = base.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), *TRAITS)
     first = keyed.groupBy("key").agg(F.min(F.struct(*TRAITS)).alias("c"), F.count("*").alias("rows")).where("rows > 1")
-    near = F.expr(f"bit_count(k1 ^ c.k1) + bit_count(k2 ^ c.k2) <= {SKETCH}") & (F.least("n", "c.n") >= F.lit(threshold) * F.greatest("n", "c.n"))
-    star = keyed.join(first.select("key", "c"), "key").where(F.col("node") > F.col("c.node")).where(near).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+    near_first = F.expr(f"bit_count(fp ^ c.fp) <= {RADIUS}") & (F.least("n", "c.n") >= F.lit(threshold) * F.greatest("n", "c.n"))
+    star = keyed.join(first.select("key", "c"), "key").where(F.col("node") > F.col("c.node")).where(near_first).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
     linked = _similar(star, docs, text, width, threshold)
     some = written(connected_components(linked, "a", "b"), "neardup-some")
     more = _similar(_rest(keyed, some, threshold, block), docs, text, width, threshold)
     comp = connected_components(linked.unionByName(more), "a", "b")
-    known = base.select("doc_id", "node").join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    known = base.select("doc_id", "node").join(comp, "node", "left").select("doc_id", F.col("node").alias("th"), F.coalesce("component", "node").alias("component"))
     known = written(known, "neardup-components")
-    return known.join(known.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
+    return known.join(known.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "th", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Keep one document of each near-duplicate component, the one with its smallest id.
-
-    All columns are kept. Rows repeated with the kept id stay together; rows
-    with a null id stay, as nothing tells them apart.
-    """
-    found = near_duplicates(docs, doc_id, text, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    """Keep one document of each component; see ``simhash.without_copies`` for which, and for repeated and null ids."""
+    return without_copies(docs, near_duplicates(docs, doc_id, text, **options), doc_id, text)

@@ -46,14 +46,15 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42, step: int = 1
 
 
 def fingerprints(docs: DataFrame, doc_id: str, text: str, width: int = 3) -> DataFrame:
-    """Return ``doc_id, fp`` (fp as a signed long) for every row."""
+    """Return ``doc_id, th, fp`` for every row: a 64-bit name of the text and the fingerprint as a signed long."""
+    t = F.coalesce(docs[text].cast("string"), F.lit(""))
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(fps, pa.int64())})
+            fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs[doc_id].cast("long"), F.xxhash64(t), t).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def planes(fps: np.ndarray) -> list[int]:
@@ -63,22 +64,23 @@ def planes(fps: np.ndarray) -> list[int]:
     return [int.from_bytes(p.tobytes(), "little") for p in packed]
 
 
-def within(rows: list[int], lag: int, valid: int, radius: int) -> int:
-    """Return the pairs (i, i + lag) of ``valid`` that differ in at most ``radius`` bits, as a bit mask.
+def counted(differences, valid: int, radius: int) -> int:
+    """Return the bits of ``valid`` that are set in at most ``radius`` of 64 ``differences``.
 
     ``counter[j]`` holds bit j of every pair's count so far (carry-save); a
     carry out of the top bit, or a count beyond the radius, marks a pair as dead.
+    Stops once all are dead.
     """
     size = (radius + 1).bit_length()
     counter, alive = [0] * size, valid
-    for step, plane in enumerate(rows, 1):
-        carry = (plane ^ (plane >> lag)) & alive
+    for step, plane in enumerate(differences, 1):
+        carry = plane & alive
         for j in range(size):
             counter[j], carry = counter[j] ^ carry, counter[j] & carry
             if not carry:
                 break
         alive &= ~carry
-        if step % 4 == 0 or step == len(rows):
+        if step % 4 == 0 and step > radius:
             over, equal = 0, alive
             for j in reversed(range(size)):
                 if radius >> j & 1:
@@ -92,6 +94,16 @@ def within(rows: list[int], lag: int, valid: int, radius: int) -> int:
     return alive
 
 
+def within(rows: list[int], lag: int, valid: int, radius: int) -> int:
+    """Return the pairs (i, i + lag) of ``valid`` that differ in at most ``radius`` bits, as a bit mask."""
+    return counted((plane ^ (plane >> lag) for plane in rows), valid, radius)
+
+
+def near(rows: list[int], fp: int, valid: int, radius: int) -> int:
+    """Return the rows of ``valid`` that differ from ``fp`` in at most ``radius`` bits, as a bit mask."""
+    return counted((valid & ~plane if fp >> b & 1 else plane for b, plane in enumerate(rows)), valid, radius)
+
+
 def forest(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Link rows of equal ``bucket`` (sorted) within the radius; returns (row, root) of the forest's edges."""
     n = len(fps)
@@ -175,13 +187,14 @@ def links(fps: DataFrame, radius: int = 2, block: int = 2048) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
-    """Return ``doc_id, fp, component_id, fp_docs`` for every row.
+    """Return ``doc_id, th, fp, component, component_id, fp_docs`` for every row.
 
     Rows whose fingerprints differ in at most ``radius`` bits are linked;
-    ``component_id`` is the smallest id reachable. Null and empty texts share
-    fingerprint zero and are linked like any other. Rows with a null id keep
-    their row and their component; a component of null ids alone has a null id.
-    An empty table gives an empty result.
+    ``component_id`` is the smallest id reachable, ``component`` the smallest
+    fingerprint. Null and empty texts share fingerprint zero and are linked like
+    any other. Repeated rows and rows with a null id keep their row and their
+    component; a component of null ids alone has a null id. Texts may be of any
+    length, other columns of any name. An empty table gives an empty result.
     """
     base = written(fingerprints(docs, doc_id, text, width), "simhash")
     distinct = base.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("fp_docs"))
@@ -190,19 +203,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "low", "fp_docs", F.coalesce("component", "fp").alias("component"))
     known = written(known, "simhash-components")
     lows = known.groupBy("component").agg(F.min("low").alias("component_id"))
-    table = known.join(lows, "component").select("fp", "component_id", "fp_docs")
-    return base.join(table, "fp").select("doc_id", "fp", "component_id", "fp_docs")
+    table = known.join(lows, "component").select("fp", "component", "component_id", "fp_docs")
+    return base.join(table, "fp").select("doc_id", "th", "fp", "component", "component_id", "fp_docs")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
-    """Keep one document of each near-duplicate component, the one with its smallest id.
+def without_copies(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Keep one document of each component of ``found(doc_id, th, component)``, with all its columns.
 
-    All columns are kept. Rows repeated with the kept id stay together; rows
-    with a null id stay, as nothing tells them apart.
+    It is the one with the smallest id (null last), then the smallest name of the
+    text. A document is an id with a text: rows that repeat both are one
+    document and stay or go together, rows that share only an id (or its absence)
+    are judged apart.
     """
-    found = near_duplicates(docs, doc_id, text, radius, width)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("k"))
+    gone = found.join(first, "component").where(F.expr("not (doc_id <=> k.doc_id and th = k.th)")).select("doc_id", "th").distinct()
+    gone = written(gone, "copies")
+    th = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
+    return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["doc_id"]) & (th == gone["th"]), "left_anti")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
+    """Keep one document of each near-duplicate component; see ``without_copies`` for which, and for repeated and null ids."""
+    return without_copies(docs, near_duplicates(docs, doc_id, text, radius, width), doc_id, text)
 
 
 def op8_components(docs: DataFrame) -> DataFrame:
