@@ -1,10 +1,15 @@
 """Personal data: patterns of form, and contexts learnt from them by bootstrapping.
 
 Spans that have the form of an email address, ip address, card or phone number
-are the seeds. Words before a seed are a lexical pattern of its kind; other
-identifier-like tokens after the same words are instances of the pattern.
-Patterns and instances score one another over a few rounds on the bipartite
-graph of their occurrences; the instances of confident patterns become spans.
+are the seeds. The words around an identifier are lexical patterns of its kind:
+one or two words before it, two words after it, the word before together with the
+word after. Other identifier-like tokens in the same places are instances of the
+pattern. Patterns and instances score one another in rounds on the bipartite
+graph of their occurrences, counted over the whole corpus: a pattern is worth the
+share of its places that hold a known instance, an instance as much as its best
+admitted pattern. Instances of admitted patterns raise further patterns in the
+next round, until a round admits nothing new; the instances of all admitted
+patterns become spans.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,10 +74,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def context(text: str, start: int, width: int = 2, reach: int = 80) -> str:
-    """The ``width`` words before ``start`` (looked for in ``reach`` characters), lower-cased; empty if there are fewer."""
-    words = text[max(0, start - reach) : start].split()
-    return " ".join(words[-width:]).lower() if len(words) >= width else ""
+def _named(word: str) -> str:
+    """A word, or a short name of a very long one."""
+    return word if len(word) <= 64 else f"{word[:16]}~{xxhash.xxh64_hexdigest(word.encode('utf-8', 'surrogatepass'))}"
+
+
+def _around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """The last two words before ``start`` and the first two from ``end`` on, whole, lower-cased."""
+    reach, left, right = 64, [], []
+    while len(left) < 3 and reach < 2 * start + 128:
+        left, reach = text[max(0, start - reach) : start].split(), reach * 4
+    reach = 64
+    while len(right) < 3 and reach < 2 * (len(text) - end) + 128:
+        right, reach = text[end : end + reach].split(), reach * 4
+    return [_named(w.lower()) for w in left[-2:]], [_named(w.lower()) for w in right[:2]]
+
+
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns of the place of a span."""
+    left, right = _around(text, start, end)
+    out = [f"1 {left[-1]}"] if left else []
+    if len(left) == 2:
+        out.append("2 " + " ".join(left))
+    if len(right) == 2:
+        out.append("3 " + " ".join(right))
+    if left and right:
+        out.append(f"4 {left[-1]} {right[0]}")
+    return out
 
 
 def _shape(token: str) -> int | None:
@@ -109,8 +138,9 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
 
 
-OCC = pa.list_(pa.struct([("kind", pa.int32()), ("ctx", pa.string()), ("inst", pa.string()), ("seed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]))
-SCAN = "row long, doc_id long, base array<struct<kind:int,start:int,end:int>>, occ array<struct<kind:int,ctx:string,inst:string,seed:boolean,start:int,end:int>>"
+OCC = pa.list_(pa.struct([("kind", pa.int32()), ("ctx", pa.list_(pa.string())), ("inst", pa.string()), ("seed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]))
+SCAN = "row long, doc_id long, base array<struct<kind:int,start:int,end:int>>, occ array<struct<kind:int,ctx:array<string>,inst:string,seed:boolean,start:int,end:int>>"
+PATTERNS = 200_000  # patterns counted in one pass over the texts
 
 
 def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -127,49 +157,97 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 if MARK.search(t):
                     found = base_spans(t)
                     for seed, spans in ((True, found), (False, candidates(t, found))):
-                        near += [{"kind": k, "ctx": c, "inst": t[s:e].lower(), "seed": seed, "start": s, "end": e} for k, s, e in spans if (c := context(t, s))]
+                        near += [{"kind": k, "ctx": contexts(t, s, e), "inst": _named(t[s:e].lower()), "seed": seed, "start": s, "end": e} for k, s, e in spans]
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
                 occ.append(near)
             yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(base)), pa.int64()), batch.column(0), pa.array(base, base_type), pa.array(occ, OCC)], names=["row", "doc_id", "base", "occ"])
             row += len(base)
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, SCAN)
+    return docs.select(docs[doc_id].cast("long"), docs[text].cast("string")).mapInArrow(run, SCAN)
 
 
-def confident_patterns(occ: DataFrame, rounds: int = 3, min_score: float = 0.8, min_seeds: int = 5) -> DataFrame:
-    """Score patterns against instances; returns ``kind, ctx`` of the patterns to trust.
+def places(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
+    """Count the places of ``patterns(ctx)`` in all texts, whatever stands there: ``ctx, total``.
 
-    A pattern scores the mean of its distinct instances' scores. A seed scores 1,
-    another instance as its best admitted pattern did in the round before (0 at
-    first). Each round admits the patterns whose instances' scores sum to at least
-    ``min_seeds`` and average at least 0.5, so instances of admitted patterns count
-    as seeds, by their score, for the next ones. Both sides are grouped aggregates
-    over (pattern, instance) edges.
+    The patterns go out in parts of about ``PATTERNS``, so that what a task holds is bounded.
+    """
+    spark = docs.sparkSession
+    parts = max(1, -(-patterns.count() // PATTERNS))
+    out = None
+    for part in range(parts):
+        known = [r[0] for r in patterns.where(F.pmod(F.xxhash64("ctx"), F.lit(parts)) == part).collect()]
+        after: dict[str, list] = {}  # by a word of the pattern: kinds and their other words
+        for c in known:
+            kind, *ws = c.split(" ")
+            after.setdefault(ws[0], []).append((kind, ws[1] if len(ws) > 1 else "", c))
+        shared = spark.sparkContext.broadcast({w: {(k, o): c for k, o, c in v} for w, v in after.items()})
+
+        def run(batches, shared=shared):
+            after = shared.value
+            for batch in batches:
+                counts: dict[str, int] = {}
+                for t in batch.column(0):
+                    words = (t.as_py() or "").lower().split()
+                    for i, w in enumerate(words):
+                        own = after.get(w) if len(w) <= 64 else after.get(_named(w))
+                        if own is None:
+                            continue
+                        one, two = (_named(words[j]) if j < len(words) else None for j in (i + 1, i + 2))
+                        for key in (("1", ""), ("2", one), ("3", one), ("4", two)):
+                            if key in own:
+                                counts[own[key]] = counts.get(own[key], 0) + 1
+                if counts:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["ctx", "n"])
+
+        found = docs.select(docs[text].cast("string")).mapInArrow(run, "ctx string, n long")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("ctx").agg(F.sum("n").alias("total"))
+
+
+def confident_patterns(occ: DataFrame, docs: DataFrame, text: str, min_score: float = 0.5, min_support: float = 5.0) -> DataFrame:
+    """Score patterns against instances; returns ``kind, ctx, p`` of the patterns to trust.
+
+    A seed scores 1, another instance as its best admitted pattern did in the
+    round before (0 at first). A pattern scores the sum over its places of their
+    instances' scores, divided by all its places in the corpus, those of ordinary
+    words too. A round admits the patterns that score at least ``min_score`` and
+    whose distinct instances' scores sum to at least ``min_support``. Rounds end
+    when one admits nothing new; scores never fall, so they do end. Both sides
+    are grouped aggregates over (pattern, instance) edges.
     """
-    edges = written(occ.groupBy("kind", "ctx", "inst").agg(F.max("seed").alias("seed")), "pii-edges")
-    # No instance scores above 1, so only contexts with enough instances can ever be admitted.
-    wide = edges.groupBy("kind", "ctx").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("kind", "ctx")
-    edges = written(edges.join(wide, ["kind", "ctx"]), "pii-wide")
+    edges = written(occ.select("kind", "inst", "seed", F.explode("ctx").alias("ctx")).groupBy("kind", "ctx", "inst").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-edges")
+    # No instance scores above 1, so only patterns with enough instances can ever be admitted.
+    wide = edges.groupBy("kind", "ctx").agg(F.count("*").alias("insts"), F.sum("n").alias("held")).where(F.col("insts") >= min_support)
+    wide = written(wide, "pii-wide")
+    total = places(docs, text, wide.select("ctx").distinct())
+    # Where even known instances at all places could not reach the score, nothing can.
+    able = wide.join(total, "ctx", "left").select("kind", "ctx", F.greatest("held", F.coalesce("total", "held")).alias("total"), "held").where(F.col("held") >= F.lit(min_score) * F.col("total"))
+    edges = written(edges.join(able.select("kind", "ctx", "total"), ["kind", "ctx"]), "pii-able", drops=(wide, edges))
     score = edges.groupBy("kind", "inst").agg(F.max(F.col("seed").cast("double")).alias("s"))
-    for _ in range(rounds):
-        sums = edges.join(score, ["kind", "inst"]).groupBy("kind", "ctx").agg(F.sum("s").alias("support"), F.avg("s").alias("p"))
-        patterns = sums.where((F.col("support") >= min_seeds) & (F.col("p") >= 0.5)).select("kind", "ctx", "p")
-        score = edges.join(patterns, ["kind", "ctx"], "left").groupBy("kind", "inst").agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("p"), F.lit(0.0))).alias("s"))
-    return patterns.where(F.col("p") >= min_score).select("kind", "ctx")
+    mark, trusted = None, None
+    while True:
+        sums = edges.join(score, ["kind", "inst"]).groupBy("kind", "ctx").agg(F.sum("s").alias("support"), (F.sum(F.col("s") * F.col("n")) / F.max("total")).alias("p"))
+        admitted = written(sums.where((F.col("support") >= min_support) & (F.col("p") >= min_score)).select("kind", "ctx", "p"), "pii-patterns", drops=(trusted,) if trusted is not None else ())
+        trusted, now = admitted, admitted.count()
+        if now in (0, mark):
+            return trusted
+        mark = now
+        score = edges.join(trusted, ["kind", "ctx"], "left").groupBy("kind", "inst").agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("p"), F.lit(0.0))).alias("s"))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Return ``doc_id, base, added`` for every row: spans by form, and those that trusted contexts add.
+    """Return ``doc_id, base, added`` for every row: spans by form, and those that trusted patterns add.
 
     Null and empty texts have no spans. Repeated rows and null ids are separate
     rows. Added spans never overlap base spans of their document. Positions are
-    code points, the end is exclusive. An empty table gives an empty result.
+    code points, the end is exclusive. Texts and words may be of any length,
+    other columns of any name. An empty table gives an empty result.
     """
     base = written(scan(docs, doc_id, text), "pii-scan")
     occ = base.select("row", F.explode("occ").alias("o")).select("row", "o.*")
-    trusted = confident_patterns(occ, **options)
-    added = occ.where("not seed").join(trusted, ["kind", "ctx"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
-    added = written(added, "pii-added")
+    trusted = confident_patterns(occ, docs, text, **options)
+    hits = occ.where("not seed").select("row", "kind", "start", "end", F.explode("ctx").alias("ctx")).join(trusted.select("kind", "ctx"), ["kind", "ctx"])
+    added = written(hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added")), "pii-added", drops=(trusted,))
     empty = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     return base.select("row", "doc_id", "base").join(added, "row", "left").select("doc_id", "base", F.coalesce("added", empty).alias("added"))
 
