@@ -100,7 +100,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     proportion, then by rank inside the bucket, so a size which a third of all
     rows share is ranked in many tasks.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    base = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), F.regexp_count(F.coalesce(docs[text].cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     base = written(base, "mix-sizes")
     buckets = max(1, -(-base.count() // bucket_rows))
     base = base.withColumn("b", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(buckets)).cast("int"))
@@ -112,15 +112,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rate = F.coalesce("fixed", _rate(F.col("lam"), F.col("size"), F.col("mean"), most))
     rated = hist.join(solved, hist["source"].eqNullSafe(solved["src"])).select("source", "size", "n", "source_size", "target", rate.alias("rate"))
 
-    walk = """aggregate(
-        reverse(array_sort(collect_list(struct(size, n, rate)))),
-        named_struct('want', 0D, 'got', 0D, 'ks', cast(array() as array<struct<size: bigint, n: bigint, rate: double, k: bigint>>)),
-        (acc, x) -> named_struct(
-            'want', acc.want + x.n * x.size * x.rate,
-            'got', acc.got + x.size * greatest(0L, least({most}L * x.n, cast(round(if(x.size = 0, x.n * x.rate, (acc.want + x.n * x.size * x.rate - acc.got) / x.size)) as bigint))),
-            'ks', concat(acc.ks, array(named_struct('size', x.size, 'n', x.n, 'rate', x.rate, 'k',
-                greatest(0L, least({most}L * x.n, cast(round(if(x.size = 0, x.n * x.rate, (acc.want + x.n * x.size * x.rate - acc.got) / x.size)) as bigint)))))))
-    ).ks""".replace("{most}", str(int(most)))
+    # Sizes go in runs of 256, so that the fold copies a run and not all that came before.
+    k = f"greatest(0L, least({int(most)}L * x.n, cast(round(if(x.size = 0, x.n * x.rate, (a.want + x.n * x.size * x.rate - a.got) / x.size)) as bigint)))"
+    entry = "array<struct<size: bigint, n: bigint, rate: double, k: bigint>>"
+    run = f"""aggregate(c, named_struct('want', acc.want, 'got', acc.got, 'ks', cast(array() as {entry})), (a, x) -> named_struct(
+        'want', a.want + x.n * x.size * x.rate, 'got', a.got + x.size * {k}, 'ks', concat(a.ks, array(named_struct('size', x.size, 'n', x.n, 'rate', x.rate, 'k', {k})))))"""
+    runs = "transform(array(reverse(array_sort(collect_list(struct(size, n, rate))))), all -> transform(sequence(0, (size(all) - 1) div 256), i -> slice(all, i * 256 + 1, 256)))[0]"
+    walk = f"""flatten(aggregate({runs}, named_struct('want', 0D, 'got', 0D, 'ks', cast(array() as array<{entry}>)),
+        (acc, c) -> transform(array({run}), r -> named_struct('want', r.want, 'got', r.got, 'ks', concat(acc.ks, array(r.ks))))[0]).ks)"""
     ks = rated.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.expr(walk).alias("ks"))
     ks = ks.select("source", "source_size", "target", F.explode("ks").alias("x")).select("source", "source_size", "target", "x.*")
 
