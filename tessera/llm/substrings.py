@@ -165,8 +165,9 @@ def _packed(parts, ids, ths, d, columns, shift=0):
 
 
 def _results(ids, ths, d, codes, n_parts):
-    """Codes as blobs, dealt by the documents' hashes."""
-    return _packed((ths & 0x3FFFFFFF)[d] % n_parts, ids, ths, d, [codes], RESULT)
+    """Codes as blobs, dealt by hashes of the documents' ids and texts: copies of a text are spread."""
+    h = _blend(ids.view(U), ths.view(U), 13)
+    return _packed((h >> U(34)).astype(np.int64)[d] % n_parts, ids, ths, d, [codes], RESULT)
 
 
 def _by_part(batches, settle, first):
@@ -271,7 +272,10 @@ def repeats(docs: DataFrame, n: int = 100, doc_id: str = "doc_id", text: str = "
     ``codes`` holds, for each run of starts: start * 2**32 + length * 2 (+ 1 for
     runs that a later level settled). Each level is written to the shared folder.
     """
-    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
+    own, whole = docs[doc_id].cast("long"), docs[text].cast("string")
+    # Null ids come after the largest one: their names of texts are not negative, all others are.
+    th = F.when(own.isNull(), F.xxhash64(whole).bitwiseAND(F.lit(LAST))).otherwise(F.xxhash64(whole).bitwiseOR(F.lit(-LAST - 1)))
+    base = docs.select(F.coalesce(own, F.lit(LAST)).alias("doc_id"), th.alias("th"), whole.alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(8, -(-total // part_bytes))
     run_types = (np.uint32, np.uint16, np.uint32, np.uint64, np.uint8)
@@ -382,7 +386,8 @@ def deduplicate(docs: DataFrame, n: int = 100, doc_id: str = "doc_id", text: str
     document of smaller id, or earlier in the same one. Strings are judged on the
     input. Null and empty texts have no bytes. Null ids come last. Documents with
     one id are ordered by a hash of their texts; rows repeated with id and text count as
-    one document and all get its result. An empty table gives an empty result.
+    one document and all get its result. Texts may be of any length, other columns
+    of any name. An empty table gives an empty result.
     """
 
     def run(batches):
@@ -401,7 +406,7 @@ def deduplicate(docs: DataFrame, n: int = 100, doc_id: str = "doc_id", text: str
                     col.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    found = repeats(docs, n, doc_id, text).select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "text", "codes")
+    found = repeats(docs, n, doc_id, text).select(F.when((F.col("doc_id") != LAST) | (F.col("th") < 0), F.col("doc_id")).alias("doc_id"), "text", "codes")
     return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
