@@ -1,9 +1,9 @@
 """Toxicity categories by a chain of linear classifiers.
 
 Category after category gets a logistic model over the words of a document. A
-later model also sees the log-odds of the earlier categories; when it is trained
-these come from models that had not seen the document (out-of-fold), when it is
-applied from the final earlier models.
+later model also sees the probabilities of the earlier categories; when it is
+trained these come from models that had not seen the document (out-of-fold), when
+it is applied from the final earlier models.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.workdir import removed, written
+
 WORD = re.compile(r"\w+")
 
 
@@ -37,7 +39,7 @@ def features_of(words: set[str]) -> set[str]:
 
 @dataclass(frozen=True)
 class Link:
-    """One category's model: a weight for each word, for each earlier category's log-odds, and a bias."""
+    """One category's model: a weight for each feature, for each earlier category's probability, and a bias."""
 
     name: str
     words: dict
@@ -45,30 +47,38 @@ class Link:
     bias: float
 
 
-def _logit(p):
-    return np.clip(np.log(np.clip(p, 1e-9, 1) / np.clip(1 - p, 1e-9, 1)), -6, 6)
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _logit(p: float) -> float:
+    return float(np.clip(np.log(max(p, 1e-9) / max(1 - p, 1e-9)), -6, 6))
 
 
 def _fit(idx, row, n_words, n_rows, extra, y, rows, l2, max_iter=40):
     """L2-regularised logistic regression by L-BFGS over binary word features and dense extras.
 
     ``idx``/``row``: word and row of each entry; only ``rows`` (a mask) count.
+    Entries are summed up in runs, so that nothing of their number is copied.
     """
-    use = rows[row]
-    idx, row = idx[use], row[use]
     y, k = y.astype(float), extra.shape[1]
     weight = rows.astype(float)
     size = n_words + k + 1
+    runs = [slice(at, at + (1 << 18)) for at in range(0, len(idx), 1 << 18)]
 
     def margin(w):
-        return np.bincount(row, weights=w[idx], minlength=n_rows) + extra @ w[n_words:-1] + w[-1]
+        out = extra @ w[n_words:-1] + w[-1]
+        for r in runs:
+            out += np.bincount(row[r], weights=w[idx[r]], minlength=n_rows)
+        return out
 
     def loss(w):
         z = margin(w)
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         r = weight * (p - y)
-        grad = np.empty(size)
-        grad[:n_words] = np.bincount(idx, weights=r[row], minlength=n_words)
+        grad = np.zeros(size)
+        for part in runs:
+            grad[:n_words] += np.bincount(idx[part], weights=r[row[part]], minlength=n_words)
         grad[n_words:-1] = extra.T @ r
         grad[-1] = r.sum()
         grad[:-1] += l2 * w[:-1]
@@ -102,135 +112,180 @@ def _fit(idx, row, n_words, n_rows, extra, y, rows, l2, max_iter=40):
     return w, margin
 
 
-def fit_chain(sample, names: tuple[str, ...], min_docs: int = 4, folds: int = 3, l2: float = 0.5, max_features: int = 6000) -> list[Link]:
-    """Fit the chain on ``(fold, features, labels)`` rows; a null label leaves its row out of that category.
+def fit_chain(rows: list[np.ndarray], vocabulary: list[str], picked: list[np.ndarray], marks: list[tuple], fold: np.ndarray, names: tuple[str, ...], l2: float = 0.5) -> list[Link]:
+    """Fit the chain on documents given as sorted indices into ``vocabulary``; a null mark leaves its document out of that category.
 
-    Each category uses the ``max_features`` features of at least ``min_docs``
-    sampled documents whose shares differ most, in standard errors, between its
-    ones and zeros. A category without both labels gets a constant model: its
-    share of ones.
+    ``picked[j]``: the features that category ``j`` may use; ``fold``: the fold of
+    each document. Earlier categories enter as probabilities, in training those of
+    models that had not seen the document's fold. A category without both marks
+    gets a constant model: its share of ones.
     """
-    ids: dict[str, int] = {}
-    rows, labels, folds_of = [], [], []
-    for number, features, marks in sample:  # one row's strings at a time
-        rows.append(np.fromiter((ids.setdefault(f, len(ids)) for f in features), np.int64))
-        labels.append(marks)
-        folds_of.append(number % folds)
-    docs_with = np.bincount(np.concatenate(rows), minlength=len(ids)) if ids else np.zeros(0, int)
-    everything = sorted(f for f, i in ids.items() if docs_with[i] >= min_docs)
-    place = np.full(len(ids), -1)
-    place[[ids[f] for f in everything]] = np.arange(len(everything))
-    ids.clear()
-    per_row = [np.sort(p[p >= 0]) for p in (place[r] for r in rows)]
-    all_idx = np.concatenate(per_row) if per_row else np.zeros(0, np.int64)
-    all_row = np.repeat(np.arange(len(rows)), [len(x) for x in per_row])
-    n, fold = len(rows), np.array(folds_of, np.int64)
-    chain, oof = [], np.zeros((n, 0))
+    n, folds = len(rows), range(int(fold.max()) + 1 if len(fold) else 0)
+    all_idx = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    all_row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in rows])
+    chain, earlier = [], np.zeros((n, 0))
     for j, name in enumerate(names):
-        raw = [m[j] for m in labels]
+        raw = [m[j] for m in marks]
         known = np.array([v is not None for v in raw], bool)
         y = np.array([int(bool(v)) for v in raw], np.int64)
         share = float(y[known].mean()) if known.any() else 0.0
         if share in (0.0, 1.0):
-            chain.append(Link(name, {}, (0.0,) * j, float(_logit(share) if known.any() else -6.0)))
-            oof = np.column_stack([oof, np.full(n, chain[-1].bias)])
+            chain.append(Link(name, {}, (0.0,) * j, _logit(share)))
+            earlier = np.column_stack([earlier, np.full(n, _sigmoid(_logit(share)))])
             continue
-        ones, zeros = known & (y == 1), known & (y == 0)
-        a = np.bincount(all_idx[ones[all_row]], minlength=len(everything)) / ones.sum()
-        b = np.bincount(all_idx[zeros[all_row]], minlength=len(everything)) / zeros.sum()
-        z = np.abs(a - b) / np.sqrt((a * (1 - a) + 1 / n) / ones.sum() + (b * (1 - b) + 1 / n) / zeros.sum())
-        picked = np.sort(np.argsort(-z, kind="stable")[:max_features])
-        new = np.full(len(everything), -1)
-        new[picked] = np.arange(len(picked))
-        take = new[all_idx] >= 0
-        idx, row, vocab = new[all_idx[take]], all_row[take], {everything[p]: i for i, p in enumerate(picked)}
-        w, _ = _fit(idx, row, len(vocab), n, oof, y, known, l2)
-        mine = np.full(n, float(_logit(share)))
-        for k in range(folds):
+        new = np.full(len(vocabulary), -1, np.int32)
+        new[picked[j]] = np.arange(len(picked[j]))
+        idx, size = new[all_idx], len(picked[j])
+        take = idx >= 0
+        idx, row = idx[take], all_row[take]
+        w, _ = _fit(idx, row, size, n, earlier, y, known, l2)
+        mine = np.full(n, share)
+        for k in folds:
             train = known & (fold != k)
             if 0 < y[train].sum() < train.sum():
-                wk, margin = _fit(idx, row, len(vocab), n, oof, y, train, l2)
-                out = np.bincount(row, weights=wk[idx], minlength=n) + oof @ wk[len(vocab) : -1] + wk[-1]
-                mine[fold == k] = np.clip(out[fold == k], -6, 6)
-        chain.append(Link(name, {v: float(w[i]) for v, i in vocab.items() if abs(w[i]) > 1e-3}, tuple(map(float, w[len(vocab) : -1])), float(w[-1])))
-        oof = np.column_stack([oof, mine])
+                wk, margin = _fit(idx, row, size, n, earlier, y, train, l2)
+                mine[fold == k] = _sigmoid(margin(wk)[fold == k])
+        chain.append(Link(name, {vocabulary[f]: float(w[i]) for i, f in enumerate(picked[j]) if abs(w[i]) > 1e-3}, tuple(map(float, w[size:-1])), float(w[-1])))
+        earlier = np.column_stack([earlier, mine])
     return chain
 
 
-def chain_probabilities(chain: list[Link], features: set[str]) -> list[float]:
-    """Apply the chain to one document's features, category after category."""
-    odds: list[float] = []
-    for link in chain:
-        get = link.words.get
-        z = link.bias + sum(get(w, 0.0) for w in features) + sum(a * b for a, b in zip(link.earlier, odds, strict=True))
-        odds.append(float(np.clip(z, -6, 6)))
-    return [1 / (1 + float(np.exp(-z))) for z in odds]
-
-
-def train(docs: DataFrame, labels: DataFrame, categories: dict, doc_id: str = "doc_id", text: str = "text", max_rows: int = 8_000, folds: int = 3) -> list[Link]:
+class Scorer:
+    """Applies a chain to batches of texts, category after category."""
+
+    def __init__(self, chain: list[Link]):
+        self.chain = chain
+        self.index = {f: i for i, f in enumerate(sorted({f for link in chain for f in link.words}))}
+        self.weights = np.zeros((len(self.index), len(chain)))
+        for j, link in enumerate(chain):
+            for f, w in link.words.items():
+                self.weights[self.index[f], j] = w
+        self.seen: dict[str, tuple] = {}
+
+    def _places(self, word: str) -> tuple:
+        """The indices of the word's features that the chain weighs; a bounded memory of words."""
+        found = tuple(i for f in features_of({word}) if (i := self.index.get(f)) is not None)
+        if len(self.seen) >= 200_000:
+            self.seen.clear()
+        if len(word) <= 64:
+            self.seen[word] = found
+        return found
+
+    def probabilities(self, texts) -> np.ndarray:
+        """One row a text, one column a category."""
+        flat, sizes, seen = [], [], self.seen
+        for text in texts:
+            own: set[int] = set()
+            for word in vocabulary_of(text):
+                places = seen.get(word)
+                own.update(self._places(word) if places is None else places)
+            flat.append(np.fromiter(own, np.int64, len(own)))
+            sizes.append(len(own))
+        idx = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        out = np.zeros((len(sizes), len(self.chain)))
+        for j, link in enumerate(self.chain):
+            out[:, j] = _sigmoid(link.bias + np.bincount(row, weights=self.weights[idx, j], minlength=len(sizes)) + out[:, :j] @ np.array(link.earlier))
+        return out
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: dict, doc_id: str = "doc_id", text: str = "text", max_rows: int = 8_000, folds: int = 3, min_docs: int = 4, max_features: int = 6_000) -> list[Link]:
     """Fit a chain for ``categories`` (name to a Column of 0/1 over ``labels``, in chain order).
 
     The fit uses at most ``max_rows`` labelled documents, those with the smallest
     id hashes; labels repeated for an id count as their maximum, labels and
-    documents with null ids are left out. Only the sample's words come to the
-    driver.
+    documents with null ids are left out. Copies of a text fall into one fold.
+    ``min_docs`` and ``max_features`` set the size of the model: a category uses
+    the ``max_features`` features of at least ``min_docs`` of the sampled
+    documents whose shares differ most, in standard errors, between its ones and
+    zeros. Spark counts them; only the chosen features come to the driver, and
+    for each document the numbers of those it has.
     """
-    names = tuple(categories)
-    marks = labels.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("__id"), *[categories[n].cast("int").alias(f"__y{i}") for i, n in enumerate(names)])
-    marks = marks.groupBy("__id").agg(*[F.max(f"__y{i}").alias(f"__y{i}") for i in range(len(names))]).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(marks), "__id")
+    spark, names = docs.sparkSession, tuple(categories)
+    marked = [f"y{i}" for i in range(len(names))]
+    marks = labels.where(labels[doc_id].isNotNull()).select(labels[doc_id].cast("long").alias("id"), *[categories[n].cast("int").alias(y) for n, y in zip(names, marked, strict=True)])
+    marks = marks.groupBy("id").agg(*[F.max(y).alias(y) for y in marked]).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    rows = docs.select(docs[doc_id].cast("long").alias("id"), F.xxhash64(docs[text].cast("string")).alias("th"), docs[text].cast("string").alias("t")).join(F.broadcast(marks), "id")  # max_rows rows
 
-    def run(batches):
+    def features(batches):
+        for batch in batches:
+            found = [sorted(features_of(vocabulary_of(t.as_py()))) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string())), *batch.columns[3:]], names=["id", "th", "features", *marked])
+
+    shape = ", ".join(f"{y} int" for y in marked)
+    sample = written(rows.select("id", "th", "t", *marked).mapInArrow(features, f"id long, th long, features array<string>, {shape}"), "toxicity-sample")
+    many = sample.agg(F.count("*").alias("n"), *[F.sum(F.when(F.col(y) == v, 1).otherwise(0)).alias(f"{y}_{v}") for y in marked for v in (0, 1)]).first()
+    counts = sample.select(F.explode("features").alias("f"), *marked).groupBy("f").agg(F.count("*").alias("docs"), *[F.sum(F.when(F.col(y) == v, 1).otherwise(0)).alias(f"{y}_{v}") for y in marked for v in (0, 1)])
+    counts = written(counts.where(F.col("docs") >= min_docs), "toxicity-features")
+    chosen = []
+    for y in marked:
+        ones, zeros = many[f"{y}_1"] or 0, many[f"{y}_0"] or 0
+        a, b = F.col(f"{y}_1") / max(1, ones), F.col(f"{y}_0") / max(1, zeros)
+        z = F.abs(a - b) / F.sqrt((a * (1 - a) + 1 / max(1, many["n"])) / max(1, ones) + (b * (1 - b) + 1 / max(1, many["n"])) / max(1, zeros))
+        chosen.append([r[0] for r in counts.orderBy(F.desc(z), "f").limit(max_features).select("f").collect()] if ones and zeros else [])
+    vocabulary = sorted(set().union(*chosen))
+    place = {f: i for i, f in enumerate(vocabulary)}
+    shared = spark.sparkContext.broadcast(place)
+
+    def numbered(batches):
+        at = shared.value
         for batch in batches:
-            words = [" ".join(sorted(vocabulary_of(t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string()), *[batch.column(i + 2) for i in range(len(names))]], names=["__id", "words", *[f"__y{i}" for i in range(len(names))]])
+            idx = [np.array(sorted(at[f] for f in fs if f in at), np.int32).tobytes() for fs in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(idx, pa.binary()), *batch.columns[3:]], names=["id", "th", "idx", *marked])
 
-    picked = rows.select("__id", "__text", *[f"__y{i}" for i in range(len(names))]).mapInArrow(run, "__id long, words string, " + ", ".join(f"__y{i} int" for i in range(len(names))))
-    sample = sorted(picked.collect(), key=lambda r: (r[0], r[1]))
-    return fit_chain(((r[0], features_of(set(r[1].split())), r[2:]) for r in sample), names, folds=folds)
+    got = sorted(sample.mapInArrow(numbered, f"id long, th long, idx binary, {shape}").collect(), key=lambda r: (r[0], r[1] or 0))
+    for table in (sample, counts):
+        removed(spark, table._scratch)
+    shared.unpersist()
+    own = [np.frombuffer(r["idx"], np.int32) for r in got]
+    fold = np.array([(r["th"] or 0) % folds for r in got], np.int64)
+    return fit_chain(own, vocabulary, [np.array(sorted(place[f] for f in c), np.int64) for c in chosen], [tuple(r[3:]) for r in got], fold, names)
 
 
 def classify(docs: DataFrame, chain: list[Link], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Return ``doc_id`` and a probability ``p_<category>`` for every row; null and empty texts have no words."""
+    """Return ``doc_id`` and a probability ``p_<category>`` for every row, repeated rows and null ids too; null and empty texts have no words."""
     model = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{c.name}" for c in chain]
 
     def run(batches):
-        own = model.value
+        own = Scorer(model.value)
         for batch in batches:
-            probs = [chain_probabilities(own, features_of(vocabulary_of(t.as_py()))) for t in batch.column(1)]
-            cols = list(zip(*probs, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.float64()) for c in cols]], names=["doc_id", *names])
+            p = own.probabilities(t.as_py() for t in batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, j]) for j in range(len(names))]], names=["doc_id", *names])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, ", ".join(["doc_id long", *[f"{n} double" for n in names]]))
+    return docs.select(docs[doc_id].cast("long"), docs[text].cast("string")).mapInArrow(run, ", ".join(["doc_id long", *[f"{n} double" for n in names]]))
 
 
 def standard_chain(docs: DataFrame, labels: DataFrame, **options) -> list[Link]:
     """The chain over the ``labels`` table: low quality first, then toxic."""
-    return train(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}, **options)
+    return train(docs, labels, {"low_quality": 1 - labels["quality"], "toxic": labels["toxic"]}, **options)
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.2, **options) -> DataFrame:
+def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.2, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Return ``doc_id, p_low_quality, p_toxic, toxic`` of the documents that the chain rejects.
 
-    All rows are scored on their whole texts. Without labels nothing is rejected.
+    All rows are scored on their whole texts; repeated rows and rows with a null
+    id each count. Probabilities equal to ``threshold`` reject. Without labels
+    nothing is rejected, an empty table gives an empty result, and other columns
+    may have any names.
     """
-    scored = classify(docs, standard_chain(docs, labels, **options))
+    scored = classify(docs, standard_chain(docs, labels, doc_id=doc_id, text=text, **options), doc_id, text)
     return scored.withColumn("toxic", F.col("p_toxic") >= threshold).where("toxic")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.2, **options) -> DataFrame:
-    """Keep the documents that the chain does not reject, with all their columns and null ids.
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.2, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Keep the documents that the chain does not reject, with all their columns, repeated rows and null ids.
 
-    The decision is taken row by row, next to the row: nothing is joined.
+    The decision is taken row by row, next to the row: nothing is joined. Null
+    and empty texts are judged by the model's bias alone; an empty table gives an
+    empty one.
     """
-    chain = docs.sparkSession.sparkContext.broadcast(standard_chain(docs, labels, **options))
-    at = docs.columns.index("text")
+    chain = docs.sparkSession.sparkContext.broadcast(standard_chain(docs, labels, doc_id=doc_id, text=text, **options))
+    at = docs.columns.index(text)
 
     def run(batches):
-        own = chain.value
+        own = Scorer(chain.value)
         for batch in batches:
-            keep = [chain_probabilities(own, features_of(vocabulary_of(t.as_py())))[-1] < threshold for t in batch.column(at)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(own.probabilities(t.as_py() for t in batch.column(at))[:, -1] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
