@@ -7,6 +7,43 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.workdir import written
+
+
+def numbered(df: DataFrame, order, keys=(), name: str = "place", parts: int | None = None) -> DataFrame:
+    """Add the 1-based place of each row in ``order`` (columns that settle all ties), per non-null ``keys``.
+
+    Rows are range-partitioned by keys and order and written; a task numbers its own range, and the
+    numbers of rows before it (one row a range and key) are joined on. No task sees the whole table.
+    """
+    keys, order = list(keys), list(order)
+    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = written(df.repartitionByRange(parts, *keys, *order).withColumn("__range", F.spark_partition_id()), "numbered")
+    whole = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(*keys, "__range").agg(F.count("*").alias("__n")).select(*keys, "__range", F.coalesce(F.sum("__n").over(whole), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order)
+    out = cut.withColumn("__inside", F.row_number().over(inside)).join(before, [*keys, "__range"])
+    return out.select(*df.columns, (F.col("__inside") + F.col("__before")).cast("long").alias(name))
+
+
+def percentiles(df: DataFrame, column: str, shares, keys=()) -> DataFrame:
+    """Exact percentiles with linear interpolation per ``keys``: one column ``p<i>`` for each of ``shares``.
+
+    From running counts over the distinct values, so no buffer holds them all; nulls do not count.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("__all"))
+    run = running(counts, keys, "value", ["n"])
+    run = run.join(total, list(keys)) if keys else run.crossJoin(F.broadcast(total))  # one row
+    out = []
+    for i, share in enumerate(shares):
+        at = (F.col("__all") - 1) * F.lit(float(share))
+        low = F.min(F.when(F.col("run_n") > F.floor(at), F.col("value")))
+        high = F.min(F.when(F.col("run_n") > F.ceil(at), F.col("value")))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(f"p{i}"))
+    return run.groupBy(*keys).agg(*out)
+
 
 def ranged(df: DataFrame, order: str, ranges: int = 255) -> DataFrame:
     """Add ``__range``, the number of approximate quantiles of a numeric column that lie below its value (null: 0)."""
@@ -103,11 +140,24 @@ def cohen_d(df: DataFrame, columns) -> DataFrame:
 def recall_at(df: DataFrame, shares=(0.01, 0.05, 0.1)) -> DataFrame:
     """Recall among the top k = max(round-half-even(share * n), 1) by score, ties by ``app_id``."""
     tot = df.agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    ranked = df.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "app_id")))
+    ranked = numbered(df.select("app_id", "y", "score"), [F.desc("score"), F.asc("app_id")], name="r")
     ks = tot.select("n", "p", F.explode(F.array(*[F.lit(s) for s in shares])).alias("share")).withColumn("k", F.greatest(F.bround(F.col("share") * F.col("n")).cast("long"), F.lit(1)))
     return ranked.where("y = 1").join(F.broadcast(ks), F.expr("r <= k"), "right").groupBy("share", "k", "p").agg(F.count("r").alias("hits")).select("share", "k", (F.col("hits") / F.col("p")).alias("recall"))
 
 
+def control_verdict(df: DataFrame, factor: float = 1.5) -> DataFrame:
+    """Whether ``score`` is at chance on control labels ``y``: ``ap, base_rate, at_chance`` (ap below ``factor`` times the base rate)."""
+    base = df.agg(F.avg("y").alias("base_rate"))
+    return average_precision(df).crossJoin(base).select("ap", "base_rate", (F.col("ap") < factor * F.col("base_rate")).alias("at_chance"))
+
+
+def leak_gap(df: DataFrame, random: str, disjoint: str, material: float = 0.01) -> DataFrame:
+    """Average precision of scores from a random and from a group-disjoint split: ``random_ap, disjoint_ap, gap, inflated``."""
+    ap = lambda c, n: average_precision(df.select("y", F.col(c).alias("score"))).select(F.col("ap").alias(n))
+    both = ap(random, "random_ap").crossJoin(ap(disjoint, "disjoint_ap")).withColumn("gap", F.col("random_ap") - F.col("disjoint_ap"))
+    return both.withColumn("inflated", F.col("gap") > material)
+
+
 def group_folds(groups: DataFrame, folds: int) -> DataFrame:
     """Assign groups to folds, the largest to the lightest: ``group, fold``.
 
@@ -134,5 +184,5 @@ def group_folds(groups: DataFrame, folds: int) -> DataFrame:
             at += take[k]
     spark = groups.sparkSession
     table = spark.createDataFrame(plan or [(0, 0, 0, 0)], "s long, lo long, hi long, fold int")
-    ranked = size.withColumn("r", F.row_number().over(Window.partitionBy("size").orderBy("group")) - 1)
+    ranked = numbered(size, [F.asc("group")], ["size"], "r").withColumn("r", F.col("r") - 1)
     return ranked.join(F.broadcast(table), F.expr("size = s and r >= lo and r < hi")).select("group", "fold")

@@ -85,11 +85,12 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.select(F.explode(F.array("a", "b", "c")).alias("app_id")).groupBy("app_id").agg(F.count("*").alias("triangles"))
 
 
-def pagerank(edges: DataFrame, vertices: DataFrame, iterations: int, alpha: float = 0.85, seeds: DataFrame | None = None) -> DataFrame:
+def pagerank(edges: DataFrame, vertices: DataFrame, iterations: int = 30, alpha: float = 0.85, seeds: DataFrame | None = None, tol: float | None = None) -> DataFrame:
     """Power iteration ``app_id, rank``.
 
-    Without ``seeds`` the teleport is uniform and the mass of isolated vertices is spread; with
-    seeds (``app_id``) it returns to them in equal shares, edges are weighted and isolated mass is lost.
+    Without ``seeds`` the teleport is uniform, edges count once each and the mass of isolated vertices is
+    spread; with seeds (``app_id``) it returns to them in equal shares, edges are weighted and isolated mass
+    is lost. With ``tol`` it ends once the ranks move by less than that in sum.
     """
     spark = edges.sparkSession
     w = F.col("weight") if seeds is not None else F.lit(1)
@@ -108,5 +109,28 @@ def pagerank(edges: DataFrame, vertices: DataFrame, iterations: int, alpha: floa
         leak = 0.0 if seeds is not None else (state.where("tot is null").agg(F.sum("rank")).first()[0] or 0.0)
         flow = both.join(state.select("app_id", (F.col("rank") / F.col("tot")).alias("r")), both["src"] == F.col("app_id")).groupBy("dst").agg(F.sum(F.col("r") * F.col("w")).alias("inflow"))
         base = (1 - alpha) * F.col("tele") + (alpha * leak / max(1, n))
-        state = written(state.join(flow, state["app_id"] == flow["dst"], "left").select("app_id", "tele", "tot", (alpha * F.coalesce("inflow", F.lit(0.0)) + base).alias("rank")), "pr-state")
+        moved = state.join(flow, state["app_id"] == flow["dst"], "left").select("app_id", "tele", "tot", (alpha * F.coalesce("inflow", F.lit(0.0)) + base).alias("rank"), F.col("rank").alias("old"))
+        state = written(moved, "pr-state", drops=(state,))
+        if tol is not None and (state.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < tol:
+            break
     return state.select("app_id", "rank")
+
+
+def rank_normalised(ranks: DataFrame, digits: int = 12) -> DataFrame:
+    """``app_id, centrality``: 1 for the highest ``rank``, 0 for the lowest, evenly between; ties (to ``digits``) by id."""
+    from tessera.functions.evaluation import numbered
+
+    placed = numbered(ranks.select("app_id", F.round("rank", digits).alias("r")), [F.desc("r"), F.asc("app_id")])
+    n = ranks.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("most"))
+    return placed.crossJoin(F.broadcast(n)).select("app_id", (1 - (F.col("place") - 1) / F.col("most")).alias("centrality"))  # one row
+
+
+def without_relation(columns, relation: str) -> list[str]:
+    """The feature columns that do not come from ``relation``."""
+    return [c for c in columns if f"_{relation}" not in c and not c.startswith(f"{relation}_")]
+
+
+def cleaned(df: DataFrame, columns) -> DataFrame:
+    """Infinite, NaN and null values of ``columns`` become zero."""
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    return df.select(*[F.when(bad(c), 0.0).otherwise(F.col(c).cast("double")).alias(c) if c in columns else F.col(c) for c in df.columns])

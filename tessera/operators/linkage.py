@@ -13,7 +13,7 @@ LEVELS = 4
 
 
 def jaro(a: str, b: str) -> float:
-    """Jaro similarity: matches within half the longer length, less half the transpositions."""
+    """Jaro similarity: matches within half the longer length, less half the displaced ones, rounded down."""
     if a == b:
         return 1.0
     if not a or not b:
@@ -29,7 +29,7 @@ def jaro(a: str, b: str) -> float:
     if not hits:
         return 0.0
     other = [ch for ch, f in zip(b, free, strict=True) if not f]
-    swaps = sum(x != y for x, y in zip(hits, other, strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(hits, other, strict=True)) // 2
     m = len(hits)
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
@@ -41,6 +41,16 @@ def jaro_winkler(a: str, b: str, p: float = 0.1) -> float:
     return j + same * p * (1 - j)
 
 
+def jaro_column(a, b):
+    """Column of Jaro similarities, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([jaro(s or "", t or "") for s, t in zip(x, y, strict=True)], dtype=float)
+
+    return similarity(a, b)
+
+
 def jaro_winkler_column(a, b):
     """Column of Jaro-Winkler similarities, in Arrow batches; meant for distinct pairs."""
 
@@ -56,6 +66,19 @@ def skeleton(name):
     return F.substring(F.translate(F.regexp_replace(F.lower(name), "[^a-z]", ""), "eiou", "aaaa"), 1, 6)
 
 
+def person_keys(first, last, birth_year, pincode, mobile) -> list:
+    """The four blocking keys of a person, each under its rule's name; null where a part is missing."""
+    whole = lambda c: F.when(c != "", c)
+    first, last, mobile = whole(first), whole(last), whole(mobile)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return [
+        F.concat(F.lit("mob|"), mobile),
+        F.concat(F.lit("snd|"), skeleton(last), F.lit("|"), text(birth_year)),
+        F.concat(F.lit("l3|"), F.substring(last, 1, 3), F.lit("|"), text(pincode)),
+        F.concat(F.lit("fl|"), F.substring(first, 1, 1), F.lit("|"), F.substring(last, 1, 4), F.lit("|"), text(pincode)),
+    ]
+
+
 def block_pairs(rec: DataFrame, keys: list, cap: int | None = None, block: int = 2000) -> DataFrame:
     """Candidate pairs ``a < b`` that share a blocking key.
 
@@ -145,3 +168,34 @@ def link(levels: DataFrame, fields: list[str], sizes: list[int], min_posterior:
         w = F.element_at(F.array(*[F.lit(float(np.log(max(fit["m"][f][i], 1e-9) / max(fit["u"][f][i], 1e-9)))) for i in range(sizes[f])]), F.col(c) + 1)
         weight = w if weight is None else weight + w
     return levels.select("a", "b", weight.alias("llr")).where(F.col("llr") >= link_threshold(fit["pi"], min_posterior, rule))
+
+
+def resolved_ids(clusters: DataFrame) -> DataFrame:
+    """Map ``id, cluster`` to ``id, resolved``: ``rp_<cluster>`` where several records share a cluster, else the id itself."""
+    size = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    many = F.concat(F.lit("rp_"), F.col("cluster").cast("string"))
+    return clusters.join(size, "cluster").select("id", F.when(F.col("n") > 1, many).otherwise(F.col("id").cast("string")).alias("resolved"))
+
+
+def rewritten(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
+    """Replace the person ids in ``column`` by their resolved ids (as text); unknown and null ids stay."""
+    of = mapping.select(F.col("id").alias("__id"), F.col("resolved").alias("__resolved"))
+    out = df.join(of, df[column] == F.col("__id"), "left")
+    return out.select(*[F.coalesce(F.col("__resolved"), df[c].cast("string")).alias(c) if c == column else df[c] for c in df.columns])
+
+
+def collapsed(persons: DataFrame, column: str, mapping: DataFrame, order: str) -> DataFrame:
+    """Rewrite the ids of person records and keep the first record of each, by ``order`` (distinct values)."""
+    new = rewritten(persons.withColumn("__order", F.col(order)), column, mapping)
+    fields = F.struct(F.col("__order").alias("first"), *[F.col(c) for c in persons.columns])
+    return new.groupBy(F.col(column).alias("__person")).agg(F.min_by(fields, "__order").alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in persons.columns])
+
+
+def merge_diagnostics(mapping: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row on merges against ``truth(id, human)``: merged clusters, correct and false ones, records welded wrongly.
+
+    A record without a known human counts as one more human.
+    """
+    per = mapping.join(truth, "id", "left").groupBy("resolved").agg(F.count("*").alias("n"), (F.countDistinct("human") + F.max(F.col("human").isNull().cast("int"))).alias("humans")).where("n > 1")
+    wrong = F.col("humans") > 1
+    return per.agg(F.count("*").alias("clusters_merged"), F.count(F.when(~wrong, 1)).alias("correct_merges"), F.count(F.when(wrong, 1)).alias("false_merges"), F.coalesce(F.sum(F.when(wrong, F.col("n"))), F.lit(0)).cast("long").alias("records_welded_wrongly"))

@@ -71,11 +71,11 @@ def _(s, d):
     return a.join(a.where("ring = 3").select("app_id"), "app_id", "left_anti").select("app_id", "day")
 
 
-@query("node_ratios", "SELECT app_id, round(income / (amount + 1), 6) + 0 AS income_to_amount, round(amount / greatest(n, 1), 6) + 0 AS amount_per_item, round((amount / greatest(n, 1)) / (abs(income) + 1), 6) + 0 AS burden FROM apps JOIN (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) ON o_orderkey = app_id")
+@query("node_ratios", "SELECT app_id, round(income / (amount + 1), 6) + 0 AS income_to_amount, round(amount / greatest(n, 1), 6) + 0 AS amount_per_item, round((amount / greatest(n, 1)) / (abs(income) + 1), 6) + 0 AS burden, round(coalesce(down, 0) / (amount + 1), 6) + 0 AS down_to_amount, round(amount / greatest(n, 1), 6) + 0 AS scheduled_emi FROM apps JOIN (SELECT o_orderkey, count(l_orderkey) AS n, max(CASE WHEN l_linenumber = 1 THEN l_extendedprice END) AS down FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) ON o_orderkey = app_id")
 def _(s, d):
-    n = s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("app_id")).agg(F.count("*").alias("n"))
+    n = s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("app_id")).agg(F.count("*").alias("n"), F.max(F.when(F.col("l_linenumber") == 1, F.col("l_extendedprice"))).alias("down"))
     per = F.col("amount") / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))
-    return applications(s, d).join(n, "app_id", "left").select("app_id", r6(F.col("income") / (F.col("amount") + 1)).alias("income_to_amount"), r6(per).alias("amount_per_item"), r6(per / (F.abs("income") + 1)).alias("burden"))
+    return applications(s, d).join(n, "app_id", "left").select("app_id", r6(F.col("income") / (F.col("amount") + 1)).alias("income_to_amount"), r6(per).alias("amount_per_item"), r6(per / (F.abs("income") + 1)).alias("burden"), r6(F.coalesce("down", F.lit(0.0)) / (F.col("amount") + 1)).alias("down_to_amount"), r6(per).alias("scheduled_emi"))
 
 
 @query("freq_encode", "SELECT app_id, count(*) OVER (PARTITION BY product) AS product_freq FROM apps")
@@ -94,17 +94,17 @@ def _(s, d):
 EMI_SQL = ", e AS (SELECT l_orderkey AS app_id, l_linenumber AS no, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS missed, greatest(datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)), 0) AS dpd FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
-@query("emi_aggregate", EMI_SQL + " SELECT a.app_id, count(e.app_id) AS n_emi, CAST(coalesce(sum(missed), 0) AS BIGINT) AS n_missed, CAST(coalesce(max(dpd), 0) AS BIGINT) AS max_dpd, round(coalesce(avg(dpd), 0), 6) + 0 AS mean_dpd, round(coalesce(avg(missed), 0), 6) + 0 AS miss_rate, CASE WHEN max(dpd) >= 30 THEN 1 ELSE 0 END AS ever_dpd30, coalesce(max(CASE WHEN no = 1 THEN missed END), 0) AS first_missed FROM apps a LEFT JOIN e ON e.app_id = a.app_id GROUP BY a.app_id")
+@query("emi_aggregate", EMI_SQL + " SELECT a.app_id, count(e.app_id) AS n_emi, CAST(coalesce(sum(missed), 0) AS BIGINT) AS n_missed, CAST(coalesce(max(dpd), 0) AS BIGINT) AS max_dpd, CAST(coalesce(sum(dpd), 0) AS BIGINT) AS sum_dpd, round(coalesce(avg(dpd), 0), 6) + 0 AS mean_dpd, round(coalesce(avg(missed), 0), 6) + 0 AS miss_rate, CASE WHEN max(dpd) >= 30 THEN 1 ELSE 0 END AS ever_dpd30, coalesce(max(CASE WHEN no = 1 THEN missed END), 0) AS first_missed FROM apps a LEFT JOIN e ON e.app_id = a.app_id GROUP BY a.app_id")
 def _(s, d):
-    e = installments(s, d).groupBy("app_id").agg(F.count("*").alias("n_emi"), F.sum("missed").alias("n_missed"), F.max("dpd").cast("long").alias("max_dpd"), F.avg("dpd").alias("mean_dpd"), F.avg("missed").alias("miss_rate"), F.max(F.when(F.col("no") == 1, F.col("missed"))).alias("first_missed"))
+    e = installments(s, d).groupBy("app_id").agg(F.count("*").alias("n_emi"), F.sum("missed").alias("n_missed"), F.max("dpd").cast("long").alias("max_dpd"), F.sum("dpd").cast("long").alias("sum_dpd"), F.avg("dpd").alias("mean_dpd"), F.avg("missed").alias("miss_rate"), F.max(F.when(F.col("no") == 1, F.col("missed"))).alias("first_missed"))
     z = applications(s, d).select("app_id").join(e, "app_id", "left").fillna(0)
-    return z.select("app_id", "n_emi", "n_missed", "max_dpd", r6("mean_dpd").alias("mean_dpd"), r6("miss_rate").alias("miss_rate"), F.when(F.col("max_dpd") >= 30, 1).otherwise(0).alias("ever_dpd30"), "first_missed")
+    return z.select("app_id", "n_emi", "n_missed", "max_dpd", "sum_dpd", r6("mean_dpd").alias("mean_dpd"), r6("miss_rate").alias("miss_rate"), F.when(F.col("max_dpd") >= 30, 1).otherwise(0).alias("ever_dpd30"), "first_missed")
 
 
 @query("winsorise", "SELECT app_id, round(least(greatest(amount, lo), hi), 6) + 0 AS amount FROM apps, (SELECT quantile_cont(amount, 0.01) AS lo, quantile_cont(amount, 0.99) AS hi FROM apps)")
 def _(s, d):
     a = applications(s, d)
-    q = a.agg(F.percentile("amount", 0.01).alias("lo"), F.percentile("amount", 0.99).alias("hi"))
+    q = evaluation.percentiles(a, "amount", [0.01, 0.99]).select(F.col("p0").alias("lo"), F.col("p1").alias("hi"))
     return a.crossJoin(F.broadcast(q)).select("app_id", r6(F.least(F.greatest("amount", "lo"), "hi")).alias("amount"))
 
 
@@ -165,9 +165,9 @@ def _(s, d):
     return n.select("relation", "app_id", "nbr_mean", "nbr_diff", "has_nbr")
 
 
-def _components(s, d, cap=None):
+def _components(s, d, cap=None, inc=None):
     """Every application's component over the strong relations; alone: its own id."""
-    inc = incidence(s, d)
+    inc = inc if inc is not None else incidence(s, d)
     c = connected_components(graphfeatures.star_edges(inc, STRONG, cap), "a", "b")
     a = applications(s, d).select("app_id")
     return a.join(c, a["app_id"] == c["node"], "left").select("app_id", F.coalesce("component", "app_id").alias("component"))
@@ -210,16 +210,24 @@ HASH = "(app_id * 2654435761 + 99) % 4294967296"
 
 @query("stratified_split", Y + f" SELECT app_id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY {HASH}, app_id) - 1) % 5 AS INTEGER) AS fold FROM y")
 def _(s, d):
-    w = Window.partitionBy("y").orderBy(F.expr(HASH), "app_id")
-    return _y(applications(s, d)).select("app_id", "y", ((F.row_number().over(w) - 1) % 5).alias("fold"))
+    place = evaluation.numbered(_y(applications(s, d)).withColumn("h", F.expr(HASH)), [F.asc("h"), F.asc("app_id")], ["y"])
+    return place.select("app_id", "y", ((F.col("place") - 1) % 5).cast("int").alias("fold"))
 
 
-@query("shuffle_control", Y + f", f AS (SELECT *, app_id % 5 AS fold FROM y), a AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY app_id) AS i, row_number() OVER (PARTITION BY fold ORDER BY {HASH}, app_id) AS j FROM f) SELECT a.app_id, a.fold, b.y AS y FROM a JOIN a b ON a.fold = b.fold AND a.i = b.j")
+def _shuffled(s, d):
+    """Labels dealt anew inside each fold: ``app_id, fold, y``."""
+    f = _y(applications(s, d)).withColumn("fold", F.expr("app_id % 5")).withColumn("h", F.expr(HASH))
+    own = evaluation.numbered(f, [F.asc("app_id")], ["fold"], "i").select("app_id", "fold", "i")
+    other = evaluation.numbered(f, [F.asc("h"), F.asc("app_id")], ["fold"], "i").select("fold", "i", "y")
+    return own.join(other, ["fold", "i"]).select("app_id", "fold", "y")
+
+
+SHUFFLED = Y + f", f AS (SELECT *, app_id % 5 AS fold FROM y), a AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY app_id) AS i, row_number() OVER (PARTITION BY fold ORDER BY {HASH}, app_id) AS j FROM f)"
+
+
+@query("shuffle_control", SHUFFLED + " SELECT a.app_id, a.fold, b.y AS y FROM a JOIN a b ON a.fold = b.fold AND a.i = b.j")
 def _(s, d):
-    f = _y(applications(s, d)).withColumn("fold", F.expr("app_id % 5"))
-    a = f.withColumn("i", F.row_number().over(Window.partitionBy("fold").orderBy("app_id"))).withColumn("j", F.row_number().over(Window.partitionBy("fold").orderBy(F.expr(HASH), "app_id")))
-    b = a.select("fold", F.col("j").alias("i"), "y")
-    return a.select("app_id", "fold", "i").join(b, ["fold", "i"]).select("app_id", "fold", "y")
+    return _shuffled(s, d)
 
 
 APSQL = "g AS (SELECT {k} score, sum(y) AS p, count(*) AS n FROM {t} GROUP BY ALL), r AS (SELECT *, sum(p) OVER ({w} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(n) OVER ({w} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS upto FROM g)"
@@ -230,6 +238,18 @@ def _(s, d):
     return evaluation.average_precision(_y(applications(s, d))).select(r6("ap").alias("ap"))
 
 
+@query("control_verdict", SHUFFLED + ", sh AS (SELECT a.score, b.y FROM a JOIN a b ON a.fold = b.fold AND a.i = b.j), " + APSQL.format(k="", t="sh", w="") + ", ap AS (SELECT sum(p * tp / upto) / sum(p) AS ap FROM r), ba AS (SELECT avg(y) AS base_rate FROM sh) SELECT round(ap, 6) + 0 AS ap, round(base_rate, 6) + 0 AS base_rate, ap < 1.5 * base_rate AS at_chance FROM ap, ba")
+def _(s, d):
+    x = _shuffled(s, d).join(applications(s, d).select("app_id", "score"), "app_id")
+    return evaluation.control_verdict(x).select(r6("ap").alias("ap"), r6("base_rate").alias("base_rate"), "at_chance")
+
+
+@query("leak_gap", Y + ", two AS (SELECT y.y, unnest([{'model': 'a', 'score': apps.score}, {'model': 'b', 'score': apps.amount}], recursive := true) FROM apps JOIN y USING (app_id)), " + APSQL.format(k="model,", t="two", w="PARTITION BY model") + ", ap AS (SELECT model, sum(p * tp / upto) / sum(p) AS ap FROM r GROUP BY model) SELECT round(a.ap, 6) + 0 AS random_ap, round(b.ap, 6) + 0 AS disjoint_ap, round(a.ap - b.ap, 6) + 0 AS gap, a.ap - b.ap > 0.01 AS inflated FROM ap a, ap b WHERE a.model = 'a' AND b.model = 'b'")
+def _(s, d):
+    a = applications(s, d).withColumn("y", F.when(F.col("ring") > 0, 1).otherwise(0))
+    return evaluation.leak_gap(a, "score", "amount").select(r6("random_ap").alias("random_ap"), r6("disjoint_ap").alias("disjoint_ap"), r6("gap").alias("gap"), "inflated")
+
+
 @query("best_single_feature", Y + ", f AS (SELECT app_id, unnest([{'feature': 'amount', 'score': amount}, {'feature': 'day', 'score': CAST(day AS DOUBLE)}, {'feature': 'income', 'score': income}, {'feature': '-amount', 'score': -amount}, {'feature': '-day', 'score': -CAST(day AS DOUBLE)}, {'feature': '-income', 'score': -income}], recursive := true) FROM apps), x AS (SELECT feature, f.score, y FROM f JOIN y USING (app_id)), " + APSQL.format(k="feature,", t="x", w="PARTITION BY feature") + " SELECT feature, round(sum(p * tp / upto) / sum(p), 6) + 0 AS ap FROM r GROUP BY feature")
 def _(s, d):
     a = applications(s, d).withColumn("y", F.when(F.col("ring") > 0, 1).otherwise(0))
@@ -262,13 +282,19 @@ def _(s, d):
 
 @query("lift_base_rate", Y + ", r AS (SELECT y, row_number() OVER (ORDER BY score DESC, app_id) AS r FROM y) SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, round(avg(y), 6) + 0 AS base_rate, round(avg(CASE WHEN r <= 100 THEN y END) / avg(y), 6) + 0 AS lift_100 FROM r")
 def _(s, d):
-    r = _y(applications(s, d)).withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "app_id")))
+    r = evaluation.numbered(_y(applications(s, d)), [F.desc("score"), F.asc("app_id")], name="r")
     return r.agg(F.count("*").alias("n"), F.sum("y").alias("n_pos"), r6(F.avg("y")).alias("base_rate"), r6(F.avg(F.when(F.col("r") <= 100, F.col("y"))) / F.avg("y")).alias("lift_100"))
 
 
+def _ring_parts(s, d):
+    """Cluster members and their scores; the incidence is written once and read by every part."""
+    inc = written(incidence(s, d), "incidence")
+    c = written(_components(s, d, inc=inc).select(F.col("component").alias("cluster"), "app_id"), "components")
+    return c, rings.ring_scores(c, applications(s, d), inc, graphfeatures.pair_edges(inc, STRONG))
+
+
 def _ring_table(s, d):
-    c = written(_components(s, d).select(F.col("component").alias("cluster"), "app_id"), "components")
-    return rings.ring_scores(c, applications(s, d), incidence(s, d), _edges(s, d))
+    return _ring_parts(s, d)[1]
 
 
 RING = EDGES + COMP + f""", m AS (SELECT component AS cluster, app_id, day, score, ring FROM comp JOIN apps USING (app_id)),
@@ -302,16 +328,24 @@ def _(s, d):
     return _ring_table(s, d).select("cluster", "n", r6("structural").alias("structural"), (F.round("ring_score", 4) + 0.0).alias("ring_score"), "dominant_axis")
 
 
-@query("budget_curve", RING + ", rk AS (SELECT cluster, n, row_number() OVER (ORDER BY 0.65 * corroboration + 0.35 * structural DESC, cluster) AS k FROM fin), fr AS (SELECT cluster, count(*) FILTER (WHERE ring > 0) AS f FROM m GROUP BY cluster) SELECT k, CAST(sum(n) OVER (ORDER BY k) AS BIGINT) AS apps_reviewed, CAST(sum(f) OVER (ORDER BY k) AS BIGINT) AS fraud_caught FROM rk JOIN fr USING (cluster) WHERE k <= 25")
-def _(s, d):
-    c = written(_components(s, d).select(F.col("component").alias("cluster"), "app_id"), "components")
+JUDGED = RING + ", rl3 AS (SELECT cluster, ring, count(*) AS c FROM m WHERE ring > 0 GROUP BY ALL), fr AS (SELECT cluster, CAST(sum(c) AS BIGINT) AS f, max(c) >= 3 AS is_true FROM rl3 GROUP BY cluster), jd AS (SELECT cluster, n, 0.65 * corroboration + 0.35 * structural AS s, coalesce(f, 0) AS f, coalesce(is_true, FALSE) AS is_true FROM fin LEFT JOIN fr USING (cluster)), tt AS (SELECT greatest(count(*), 1) AS total FROM apps WHERE ring > 0)"
+
+
+def _judged(s, d):
+    c, t = _ring_parts(s, d)
     a = applications(s, d)
-    t = rings.ring_scores(c, a, incidence(s, d), _edges(s, d))
-    f = c.join(a.where("ring > 0").select("app_id"), "app_id").groupBy("cluster").agg(F.count("*").alias("f"))
-    top = t.orderBy(F.desc("ring_score"), "cluster").limit(25).join(f, "cluster", "left").fillna(0, ["f"])
-    k = top.withColumn("k", F.row_number().over(Window.orderBy(F.desc("ring_score"), "cluster")))
-    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return k.select("k", F.sum("n").over(w).alias("apps_reviewed"), F.sum("f").over(w).alias("fraud_caught"))
+    return written(rings.judged(t, c, a), "rings"), a.where("ring > 0").agg(F.count("*").alias("total"))
+
+
+@query("budget_curve", JUDGED + ", rk AS (SELECT *, row_number() OVER (ORDER BY s DESC, cluster) AS k FROM jd) SELECT k, CAST(sum(n) OVER (ORDER BY k) AS BIGINT) AS apps_reviewed, CAST(sum(f) OVER (ORDER BY k) AS BIGINT) AS fraud_caught, round(sum(f) OVER (ORDER BY k) / total, 6) + 0 AS recall, round(avg(CASE WHEN is_true THEN 1 ELSE 0 END) OVER (ORDER BY k), 6) + 0 AS precision_clusters FROM rk, tt QUALIFY k <= 25")
+def _(s, d):
+    return rings.budget(*_judged(s, d)).select("k", "apps_reviewed", "fraud_caught", r6("recall").alias("recall"), r6("precision_clusters").alias("precision_clusters"))
+
+
+@query("rings_at_threshold", JUDGED + " SELECT count(*) AS clusters, count(*) FILTER (WHERE is_true) AS true_rings, count(*) FILTER (WHERE s >= 0.5) AS flagged, count(*) FILTER (WHERE s >= 0.5 AND is_true) AS true_flagged, round(count(*) FILTER (WHERE s >= 0.5 AND is_true) / greatest(count(*) FILTER (WHERE is_true), 1), 6) + 0 AS ring_recall, round(count(*) FILTER (WHERE s >= 0.5 AND is_true) / nullif(count(*) FILTER (WHERE s >= 0.5), 0), 6) + 0 AS precision, CAST(coalesce(sum(f) FILTER (WHERE s >= 0.5), 0) AS BIGINT) AS fraud_covered, round(coalesce(sum(f) FILTER (WHERE s >= 0.5), 0) / any_value(total), 6) + 0 AS app_recall, count(*) FILTER (WHERE s >= 0.5 AND NOT is_true) AS false_positives, coalesce(quantile_cont(n, 0.5) FILTER (WHERE s >= 0.5 AND NOT is_true), 0)::DOUBLE AS fp_median_apps FROM jd, tt")
+def _(s, d):
+    t = rings.at_threshold(*_judged(s, d))
+    return t.select(*[r6(c).alias(c) if c in ("ring_recall", "precision", "app_recall") else F.col(c).cast("double").alias(c) if c == "fp_median_apps" else c for c in t.columns])
 
 
 @query("skeleton_key", "SELECT p_partkey, substring(translate(regexp_replace(lower(p_name), '[^a-z]', '', 'g'), 'eiou', 'aaaa'), 1, 6) AS skeleton FROM part")
@@ -357,6 +391,61 @@ def _(s, d):
     return j.join(words, ["x", "y"]).select("a", "b", r6("jw").alias("jw"))
 
 
+@query("er_jaro_shuffled", ", w AS (SELECT p_partkey AS id, p_name AS x, reverse(p_type) AS t, split_part(p_name, ' ', 2) || reverse(split_part(p_name, ' ', 1)) AS y FROM part) SELECT id, round(jaro_similarity(x, y), 6) + 0 AS jaro_name, round(jaro_similarity(reverse(x), y), 6) + 0 AS jaro_back, round(jaro_similarity(t, x), 6) + 0 AS jaro_type FROM w")
+def _(s, d):
+    w = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("x"), F.reverse("p_type").alias("t"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.reverse(F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("y"))
+    return w.select("id", r6(linkage.jaro_column(F.col("x"), F.col("y"))).alias("jaro_name"), r6(linkage.jaro_column(F.reverse("x"), F.col("y"))).alias("jaro_back"), r6(linkage.jaro_column(F.col("t"), F.col("x"))).alias("jaro_type"))
+
+
+_PK = ", pk AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS f, split_part(p_name, ' ', 2) AS l, CAST(p_size AS VARCHAR) AS b, p_brand AS z, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type || p_size END AS m FROM part), kk AS (SELECT id, unnest([CASE WHEN m <> '' THEN 'mob|' || m END, CASE WHEN l <> '' THEN 'snd|' || substring(translate(regexp_replace(lower(l), '[^a-z]', '', 'g'), 'eiou', 'aaaa'), 1, 6) || '|' || b END, CASE WHEN l <> '' THEN 'l3|' || substring(l, 1, 3) || '|' || z END, CASE WHEN f <> '' AND l <> '' THEN 'fl|' || substring(f, 1, 1) || '|' || substring(l, 1, 4) || '|' || z END]) AS key FROM pk)"
+
+
+def _person_keys(s, d):
+    p = s.read.parquet(f"{d}/part.parquet")
+    first, last = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    mobile = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat("p_type", F.col("p_size").cast("string")))
+    return p.select(F.col("p_partkey").alias("id"), F.explode(F.array(*linkage.person_keys(first, last, F.col("p_size"), F.col("p_brand"), mobile))).alias("key")).where("key is not null")
+
+
+@query("er_person_keys", _PK + " SELECT id, key FROM kk WHERE key IS NOT NULL")
+def _(s, d):
+    return _person_keys(s, d)
+
+
+#: Parts of one brand, type and size as records of a person, for the queries on resolved ids.
+_CL = ", cl AS (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, p_size, substring(p_type, 1, 4)) AS cluster, split_part(p_name, ' ', 1) AS human FROM part), mp AS (SELECT id, CASE WHEN count(*) OVER (PARTITION BY cluster) > 1 THEN 'rp_' || cluster ELSE CAST(id AS VARCHAR) END AS resolved FROM cl)"
+
+
+def _resolved(s, d):
+    p = s.read.parquet(f"{d}/part.parquet").withColumn("kind", F.substring("p_type", 1, 4))
+    keys = ["p_brand", "p_size", "kind"]
+    low = p.groupBy(*keys).agg(F.min("p_partkey").alias("cluster"))
+    return linkage.resolved_ids(p.join(low, keys).select(F.col("p_partkey").alias("id"), "cluster"))
+
+
+@query("er_map_ids", _CL + " SELECT id, resolved FROM mp")
+def _(s, d):
+    return _resolved(s, d)
+
+
+@query("er_rewrite", _CL + " SELECT l_orderkey, l_linenumber, coalesce(resolved, CAST(l_partkey AS VARCHAR)) AS l_partkey FROM lineitem LEFT JOIN mp ON l_partkey = id")
+def _(s, d):
+    li = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
+    return linkage.rewritten(li, "l_partkey", _resolved(s, d))
+
+
+@query("er_collapse", _CL + " SELECT resolved AS p_partkey, arg_min(p_name, p_partkey) AS p_name, arg_min(p_type, p_partkey) AS p_type FROM part JOIN mp ON p_partkey = id GROUP BY resolved")
+def _(s, d):
+    p = s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_type")
+    return linkage.collapsed(p, "p_partkey", _resolved(s, d), "p_partkey")
+
+
+@query("er_diagnose", _CL + ", g AS (SELECT resolved, count(*) AS n, count(DISTINCT human) AS h FROM mp JOIN cl USING (id) GROUP BY resolved HAVING count(*) > 1) SELECT count(*) AS clusters_merged, count(*) FILTER (WHERE h = 1) AS correct_merges, count(*) FILTER (WHERE h > 1) AS false_merges, CAST(coalesce(sum(n) FILTER (WHERE h > 1), 0) AS BIGINT) AS records_welded_wrongly FROM g")
+def _(s, d):
+    truth = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("human"))
+    return linkage.merge_diagnostics(_resolved(s, d), truth)
+
+
 @query("er_levels", LEV + " SELECT * FROM lv")
 def _(s, d):
     return _levels(s, d)
@@ -393,6 +482,17 @@ def _(s, d):
     return graphfeatures.pagerank(_edges(s, d), a.select("app_id"), 3, seeds=a.where("ring = 1").select("app_id")).select("app_id", (F.round("rank", 9) + 0.0).alias("rank"))
 
 
+@query("pagerank_normalised", _unrolled("(1.0 / (SELECT n FROM nn))::DOUBLE", "count(*)", "1", "+ 0.85 * coalesce((SELECT sum(r) FROM r{j} WHERE t IS NULL), 0) / (SELECT n FROM nn)").replace(" SELECT app_id, round(r, 9) + 0 AS rank FROM r3", " SELECT app_id, round(1 - (row_number() OVER (ORDER BY round(r, 12) DESC, app_id) - 1) / greatest((SELECT n FROM nn) - 1, 1), 6) + 0 AS centrality FROM r3"))
+def _(s, d):
+    r = graphfeatures.pagerank(_edges(s, d), applications(s, d).select("app_id"), 3)
+    return graphfeatures.rank_normalised(r).select("app_id", r6("centrality").alias("centrality"))
+
+
+@query("pagerank_settled")
+def _(s, d):
+    return graphfeatures.pagerank(_edges(s, d), applications(s, d).select("app_id"), 30, tol=1e-10)
+
+
 BOTH = EDGES + ", bo AS (SELECT src AS a, dst AS b FROM ed UNION ALL SELECT dst, src FROM ed)"
 
 
@@ -421,7 +521,7 @@ def _(s, d):
 @query("explain_signals", DEG + ", f AS (SELECT relation AS feature, app_id, CAST(sum(nd - 1) AS DOUBLE) AS v FROM inc JOIN nd USING (relation, node) GROUP BY ALL), q AS (SELECT feature, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM f GROUP BY feature), z AS (SELECT app_id, feature, v, (v - med) / nullif(iqr, 0) AS z FROM f JOIN q USING (feature)) SELECT app_id, feature, round(v, 6) + 0 AS value, round(z, 6) + 0 AS z, row_number() OVER (PARTITION BY app_id ORDER BY z DESC, feature) AS place FROM z WHERE z > 0.5 QUALIFY place <= 5")
 def _(s, d):
     f = graphfeatures.degrees(incidence(s, d)).select(F.col("relation").alias("feature"), "app_id", F.col("co").cast("double").alias("v"))
-    q = f.groupBy("feature").agg(F.percentile("v", 0.5).alias("med"), (F.percentile("v", 0.75) - F.percentile("v", 0.25)).alias("iqr"))
+    q = evaluation.percentiles(f, "v", [0.25, 0.5, 0.75], ["feature"]).select("feature", F.col("p1").alias("med"), (F.col("p2") - F.col("p0")).alias("iqr"))
     z = f.join(F.broadcast(q), "feature").withColumn("z", (F.col("v") - F.col("med")) / F.when(F.col("iqr") != 0, F.col("iqr"))).where("z > 0.5")
     w = Window.partitionBy("app_id").orderBy(F.desc("z"), "feature")
     return z.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5").select("app_id", "feature", r6("v").alias("value"), r6("z").alias("z"), "place")
@@ -517,6 +617,18 @@ def _(s, d):
     return _features(s, d).select("app_id", *[f"co_{r}" for r in ("device", "account", "person", "dealer", "guarantor")])
 
 
+@query("features_ablated", DEG + ", c AS (SELECT relation, app_id, CAST(sum(nd - 1) AS BIGINT) AS co FROM inc JOIN nd USING (relation, node) GROUP BY ALL) SELECT a.app_id, " + ", ".join(f"coalesce(max(co) FILTER (WHERE relation = '{r}'), 0)::DOUBLE AS co_{r}" for r in ("account", "person", "dealer", "guarantor")) + " FROM apps a LEFT JOIN c USING (app_id) GROUP BY a.app_id")
+def _(s, d):
+    f = _features(s, d)
+    return f.select("app_id", *graphfeatures.without_relation([c for c in f.columns if c.startswith("co_")], "device"))
+
+
+@query("features_cleaned", "SELECT app_id, round(coalesce(CASE WHEN day % 7 <> 0 THEN amount / (day % 7) END, 0), 6) + 0 AS per_day FROM apps")
+def _(s, d):
+    a = applications(s, d).select("app_id", F.when(F.col("day") % 7 == 0, F.lit(float("inf"))).otherwise(F.try_divide("amount", F.col("day") % 7)).alias("per_day"))
+    return graphfeatures.cleaned(a, ["per_day"]).select("app_id", r6("per_day").alias("per_day"))
+
+
 @query("stream_burst_batch", ", w AS (SELECT user_id, ts, unnest(range(0, 2)) AS k FROM events), b AS (SELECT user_id, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 7 DAY AS st FROM w) SELECT user_id, CAST(st AS TIMESTAMP) AS start, count(*) AS events FROM b GROUP BY ALL HAVING count(*) >= 5")
 def _(s, d):
     from tessera.streaming.burst import burst_alerts

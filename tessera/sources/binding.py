@@ -37,21 +37,21 @@ def installments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long incidence ``relation, app_id, node`` of five relations, distinct, without nulls."""
     a = applications(spark, sf_dir).select("app_id", "cust", "day")
-    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _day("l_shipdate").alias("sday"))
-    li = li.join(a.select("app_id"), li["l_orderkey"] == F.col("app_id"), "left_semi")
-    first, second = li.where("l_linenumber = 1"), li.where("l_linenumber = 2")
+    li = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("app_id"), "l_linenumber", "l_partkey", "l_suppkey", _day("l_shipdate").alias("sday"))
+    li = li.join(a.select("app_id"), "app_id", "left_semi")
     txt = lambda *c: F.concat_ws("_", *[x.cast("string") for x in c])
-    parts = [
-        a.select(F.lit("person").alias("relation"), "app_id", txt(F.col("cust"), F.floor(F.col("day") / 90)).alias("node")),
-        first.select(F.lit("device"), "l_orderkey", txt(F.col("l_partkey"), F.floor(F.col("sday") / 30))),
-        second.select(F.lit("account"), "l_orderkey", txt(F.col("l_partkey"), F.col("l_suppkey"))),
-        first.select(F.lit("dealer"), "l_orderkey", txt(F.col("l_suppkey"))),
-        li.select(F.lit("guarantor"), "l_orderkey", txt(F.col("l_partkey"))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.where("app_id is not null and node is not null").distinct()
+    node = lambda relation, value: F.struct(F.lit(relation).alias("relation"), value.alias("node"))
+    person = a.select(F.lit("person").alias("relation"), "app_id", txt(F.col("cust"), F.floor(F.col("day") / 90)).alias("node"))
+    first, second = F.col("l_linenumber") == 1, F.col("l_linenumber") == 2
+    nodes = F.array(
+        F.when(first, node("device", txt(F.col("l_partkey"), F.floor(F.col("sday") / 30)))),
+        F.when(second, node("account", txt(F.col("l_partkey"), F.col("l_suppkey")))),
+        F.when(first, node("dealer", txt(F.col("l_suppkey")))),
+        node("guarantor", txt(F.col("l_partkey"))),
+    )
+    # One pass over the line items; an application can repeat any of their nodes.
+    lines = li.select("app_id", F.explode(F.filter(nodes, lambda x: x.isNotNull())).alias("x")).select("x.relation", "app_id", "x.node").distinct()
+    return person.distinct().unionByName(lines).where("app_id is not null and node is not null")
 
 
 #: The same binding as SQL, for the oracle queries.
