@@ -149,7 +149,7 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches):
         row = TaskContext.get().partitionId() << 40
         base_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             base, occ = [], []
             for t in batch.column(1):
                 t = t.as_py() or ""
