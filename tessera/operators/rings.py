@@ -10,32 +10,36 @@ from tessera.functions.evaluation import numbered, percentiles
 AXES = ("device", "account", "person", "guarantor", "burst")
 
 
-def ring_scores(member: DataFrame, apps: DataFrame, inc: DataFrame, edges: DataFrame, min_size: int = 3, window: int = 14) -> DataFrame:
+def ring_scores(member: DataFrame, apps: DataFrame, inc: DataFrame, edges: DataFrame, min_size: int = 3, window: int = 14, by: str | None = None) -> DataFrame:
     """Score clusters ``member(cluster, app_id)`` of at least ``min_size`` applications.
 
     Concentration of a relation is 1 - distinct nodes / applications (guarantor: / links, from
     two links on); burst is the densest ``window`` days' share; density the linked pairs' share.
+    With ``by`` (a column of ``member``, such as a snapshot, that each cluster has one value of), hot scores
+    and ranks are taken among the applications and clusters of one value.
     """
+    keys = [by] if by else []
     m = member.join(apps.select("app_id", "day", "score"), "app_id")
-    hot = percentiles(apps, "score", [0.95]).withColumnRenamed("p0", "p95")
+    hot = percentiles(m if by else apps, "score", [0.95], keys).withColumnRenamed("p0", "p95")
     size = m.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
-    m = m.join(size.select("cluster"), "cluster", "left_semi").crossJoin(F.broadcast(hot))  # one row
+    m = m.join(size.select("cluster"), "cluster", "left_semi")
+    m = m.join(hot, keys) if by else m.crossJoin(F.broadcast(hot))  # one row
     in14 = Window.partitionBy("cluster").orderBy("day").rangeBetween(0, window)
-    base = m.withColumn("w", F.count("*").over(in14)).groupBy("cluster").agg(F.count("*").alias("n"), F.max("w").alias("w14"), F.avg("score").alias("mean_score"), F.avg((F.col("score") > F.col("p95")).cast("double")).alias("frac_hot"), (F.max("day") - F.min("day")).alias("span"))
+    base = m.withColumn("w", F.count("*").over(in14)).groupBy("cluster", *keys).agg(F.count("*").alias("n"), F.max("w").alias("w14"), F.avg("score").alias("mean_score"), F.avg((F.col("score") > F.col("p95")).cast("double")).alias("frac_hot"), (F.max("day") - F.min("day")).alias("span"))
     rel = member.join(inc, "app_id").groupBy("cluster").agg(*[x for r in AXES[:4] for x in (F.countDistinct(F.when(F.col("relation") == r, F.col("node"))).alias(f"d_{r}"), F.count(F.when(F.col("relation") == r, 1)).alias(f"l_{r}"))])
-    s, d = member.select(F.col("app_id").alias("src"), F.col("cluster").alias("c1")), member.select(F.col("app_id").alias("dst"), F.col("cluster").alias("c2"))
-    dens = edges.join(s, "src").join(d, "dst").where("c1 = c2").groupBy(F.col("c1").alias("cluster")).agg(F.count("*").alias("links"))
+    s, d = member.select(F.col("app_id").alias("src"), F.col("cluster").alias("c1")), member.select(F.col("app_id").alias("dst"), F.col("cluster").alias("c1"))
+    dens = edges.join(s, "src").join(d, ["dst", "c1"]).groupBy(F.col("c1").alias("cluster")).agg(F.count("*").alias("links"))
     j = base.join(rel, "cluster", "left").join(dens, "cluster", "left")
     conc = lambda r: F.greatest(F.lit(0.0), 1 - F.coalesce(f"d_{r}", F.lit(0)) / F.col("n")).alias(r)
     guar = F.when(F.col("l_guarantor") >= 2, 1 - F.col("d_guarantor") / F.col("l_guarantor")).otherwise(0.0).alias("guarantor")
     j = j.select("*", conc("device"), conc("account"), conc("person"), guar, (F.col("w14") / F.col("n")).alias("burst"), F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / (F.col("n") * (F.col("n") - 1) / 2)).alias("density"))
     top = F.greatest(*AXES)
-    j = numbered(j.withColumn("structural", 0.8 * top + 0.2 * F.col("density")), [F.asc("mean_score"), F.asc("cluster")])
-    count = j.agg(F.count("*").alias("cnt"))
-    j = j.crossJoin(F.broadcast(count)).withColumn("r01", F.when(F.col("cnt") > 1, (F.col("place") - 1) / (F.col("cnt") - 1)).otherwise(0.0))  # one row
+    j = numbered(j.withColumn("structural", 0.8 * top + 0.2 * F.col("density")), [F.asc("mean_score"), F.asc("cluster")], keys)
+    count = j.groupBy(*keys).agg(F.count("*").alias("cnt"))
+    j = (j.join(count, keys) if by else j.crossJoin(F.broadcast(count))).withColumn("r01", F.when(F.col("cnt") > 1, (F.col("place") - 1) / (F.col("cnt") - 1)).otherwise(0.0))  # one row
     dom = F.coalesce(*[F.when(F.col(a) == top, F.lit(a)) for a in AXES])
     j = j.withColumn("corroboration", 0.5 * F.col("r01") + 0.5 * F.col("frac_hot")).withColumn("ring_score", 0.65 * F.col("corroboration") + 0.35 * F.col("structural"))
-    return j.select("cluster", "n", *AXES, "density", "mean_score", "frac_hot", "span", "structural", "corroboration", "ring_score", dom.alias("dominant_axis"))
+    return j.select("cluster", *keys, "n", *AXES, "density", "mean_score", "frac_hot", "span", "structural", "corroboration", "ring_score", dom.alias("dominant_axis"))
 
 
 def judged(scored: DataFrame, member: DataFrame, apps: DataFrame, min_members: int = 3) -> DataFrame:

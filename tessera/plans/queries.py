@@ -559,6 +559,25 @@ def _(s, d):
     return x.join(c, "ring").groupBy("min_size").agg(F.count("*").alias("detected"), F.count(F.when(lead > 0, 1)).alias("before_completion"), r6(F.percentile(lead, 0.5)).alias("median_lead"))
 
 
+def _replayed(s, d, step=7):
+    """Weekly snapshots of the second half of the time."""
+    from tessera.operators import leadtime
+
+    a = written(applications(s, d), "applications")
+    inc = written(incidence(s, d), "incidence")
+    last = a.agg(F.max("day")).first()[0] or 0
+    days = list(range(last // 2, last + 1, step))
+    found = leadtime.replay(a, inc, graphfeatures.pair_edges(inc, STRONG), STRONG, days)
+    swept = written(leadtime.sweep(written(found, "replayed"), a, last // 2), "swept")
+    best = leadtime.chosen(swept).select("threshold", "min_size", F.lit(True).alias("chosen"))
+    return swept.join(best, ["threshold", "min_size"], "left").fillna(False, ["chosen"])
+
+
+@query("leadtime_replay")
+def _(s, d):
+    return _replayed(s, d)
+
+
 _SECT = ", ".join(f"('{a}', {b}::DOUBLE, {c}::DOUBLE, {e}::DOUBLE, {f}::DOUBLE)" for a, b, c, e, f in finance.SECTORS)
 _P, _W = finance.books()
 _YEAR = ", ".join(f"({y}, {(_P * c if c else _W)!r}::DOUBLE, {p}::DOUBLE, {o + one}::DOUBLE)" for y, c, p, o, one in finance.YEARS)
