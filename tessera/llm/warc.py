@@ -24,7 +24,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.workdir import new_path, written
+from tessera.sources.workdir import new_path, removed, written
 
 CHUNK = 1 << 20
 MANIFEST = "path string, records long, n_bytes long"
@@ -216,7 +216,8 @@ def archive_pages(pages: DataFrame, with_payload: bool = True, files: int | None
     raw = written(write_archives(plan_records(pages), f"{folder}/raw"), "warc-manifest")
     # A file name is a small row: deal the names out so that each task inflates a few files.
     n = files or max(1, raw.count())
-    normal = written(normalise_archives(raw.repartition(n, "path"), f"{folder}/normal"), "warc-manifest")
+    normal = written(normalise_archives(raw.repartition(n, "path"), f"{folder}/normal"), "warc-manifest", drops=(raw,))
+    removed(spark, f"{folder}/raw")  # every record now stands in the normalised archives
     return read_archives(normal.repartition(n, "path"), folder, with_payload)
 
 
