@@ -534,6 +534,81 @@ def _(s, d):
     return i.join(nd, ["relation", "node"]).groupBy("relation", "app_id").agg(F.count("*").alias("shared_nodes"), F.sum(F.col("nd") - 1).alias("others"))
 
 
+@query("explain_neighbours", ", pr AS (SELECT DISTINCT a.relation, a.app_id, b.app_id AS other FROM inc a JOIN inc b ON a.relation = b.relation AND a.node = b.node AND a.app_id <> b.app_id), rk AS (SELECT *, row_number() OVER (PARTITION BY relation, app_id ORDER BY other) AS i FROM pr) SELECT relation, app_id, count(*) AS others, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) FILTER (WHERE i <= 12) AS sample FROM rk GROUP BY ALL")
+def _(s, d):
+    from tessera.operators.casenotes import neighbours
+
+    n = neighbours(incidence(s, d))
+    return n.select("relation", "app_id", "others", F.array_join(F.transform("sample", lambda x: x.cast("string")), ",").alias("sample"))
+
+
+def _signals(s, d):
+    """Every signal that has a phrase, long: ``feature, app_id, v``."""
+    a, inc = applications(s, d), written(incidence(s, d), "incidence")
+    deg = graphfeatures.degrees(inc)
+    burst = graphfeatures.bursts(inc.where("relation in ('device', 'account', 'guarantor')"), a)
+    h = graphfeatures.entropies(inc.where("relation in ('device', 'account')"), a)
+    size = _components(s, d, inc=inc)
+    size = size.join(size.groupBy("component").agg(F.count("*").alias("n")), "component")
+    named = lambda df, name, c: df.select(name.alias("feature"), "app_id", F.col(c).cast("double").alias("v"))
+    rel = F.col("relation")
+    parts = [
+        named(deg, F.concat(F.lit("co_"), rel), "co"),
+        named(deg.where("relation in ('device', 'account', 'guarantor')"), F.concat(F.lit("node_deg_"), rel), "node_deg"),
+        named(burst.where("relation <> 'guarantor'"), F.concat(rel, F.lit("_burst_7d")), "burst_7d"),
+        named(burst.where("relation <> 'account'"), F.concat(rel, F.lit("_burst_30d")), "burst_30d"),
+        named(h, F.concat(F.lit("entropy_"), rel), "entropy"),
+        named(size, F.lit("component_size"), "n"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _words_sql():
+    from tessera.operators.casenotes import PHRASES
+
+    return ", ".join(f"('{f}', '{t}', {h})" for f, (t, h) in PHRASES.items())
+
+
+SIGNALS = DEG + COMP + f""", dg AS (SELECT relation, app_id, avg(nd) AS node_deg, sum(nd - 1) AS co FROM inc JOIN nd USING (relation, node) GROUP BY ALL),
+bw AS (SELECT relation, app_id, count(*) OVER (PARTITION BY relation, node ORDER BY day RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING) - 1 AS b7, count(*) OVER (PARTITION BY relation, node ORDER BY day RANGE BETWEEN 30 PRECEDING AND 30 FOLLOWING) - 1 AS b30 FROM inc JOIN apps USING (app_id) WHERE relation IN ('device', 'account', 'guarantor')),
+bu AS (SELECT relation, app_id, sum(b7) AS b7, sum(b30) AS b30 FROM bw GROUP BY ALL),
+eb AS (SELECT relation, node, cust, count(*) AS c FROM inc JOIN apps USING (app_id) WHERE relation IN ('device', 'account') GROUP BY ALL),
+et AS (SELECT relation, node, sum(c) AS t FROM eb GROUP BY ALL),
+eh AS (SELECT relation, node, CASE WHEN max(t) >= 2 THEN sum(-(c / t) * ln(c / t + 1e-12)) ELSE 0 END AS h FROM eb JOIN et USING (relation, node) GROUP BY ALL),
+cs AS (SELECT component, count(*) AS n FROM comp GROUP BY ALL),
+sg AS (SELECT 'co_' || relation AS feature, app_id, CAST(co AS DOUBLE) AS v FROM dg UNION ALL SELECT 'node_deg_' || relation, app_id, node_deg FROM dg WHERE relation IN ('device', 'account', 'guarantor') UNION ALL SELECT relation || '_burst_7d', app_id, b7 FROM bu WHERE relation <> 'guarantor' UNION ALL SELECT relation || '_burst_30d', app_id, b30 FROM bu WHERE relation <> 'account' UNION ALL SELECT 'entropy_' || relation, app_id, max(h) FROM inc JOIN eh USING (relation, node) GROUP BY ALL UNION ALL SELECT 'component_size', app_id, n FROM comp JOIN cs USING (component)),
+ph(feature, words, high) AS (VALUES {_words_sql()}),
+fu AS (SELECT ph.feature, a.app_id, words, high, coalesce(round(v, 6), 0) + 0 AS v FROM apps a CROSS JOIN (SELECT * FROM ph WHERE feature IN (SELECT feature FROM sg)) ph LEFT JOIN sg ON sg.feature = ph.feature AND sg.app_id = a.app_id),
+qs AS (SELECT feature, quantile_cont(v, 0.5) AS med, nullif(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 0) AS iqr FROM fu GROUP BY feature),
+zs AS (SELECT fu.*, CASE WHEN high THEN (v - med) / iqr ELSE -((v - med) / iqr) END AS strength, round(100 * cume_dist() OVER (PARTITION BY feature ORDER BY v), 1) AS pct FROM fu JOIN qs USING (feature))"""
+
+
+@query("explain_notes", SIGNALS + " SELECT app_id, feature, round(v, 3) + 0 AS value, pct AS portfolio_percentile, replace(words, '{n}', CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(round(v, 2) AS VARCHAR) END) AS text, row_number() OVER (PARTITION BY app_id ORDER BY strength DESC, feature) AS place FROM zs WHERE strength > 0.5 QUALIFY place <= 5")
+def _(s, d):
+    from tessera.operators.casenotes import signal_notes
+
+    return signal_notes(written(_signals(s, d), "signals"), applications(s, d))
+
+
+@query("drawable_edges", COMP + f", fit AS (SELECT component FROM comp GROUP BY component HAVING count(*) BETWEEN 3 AND 90) SELECT a.relation, a.app_id AS src, b.app_id AS dst, count(*) AS weight FROM inc a JOIN inc b ON a.relation = b.relation AND a.node = b.node AND a.app_id < b.app_id JOIN comp ON comp.app_id = a.app_id JOIN fit USING (component) WHERE a.relation IN {STRONG_SQL} GROUP BY ALL")
+def _(s, d):
+    from tessera.operators.casenotes import drawable_edges
+
+    inc = written(incidence(s, d), "incidence")
+    member = _components(s, d, inc=inc).select(F.col("component").alias("cluster"), "app_id")
+    return drawable_edges(member, inc, STRONG)
+
+
+@query("injected_rings")
+def _(s, d):
+    from tessera.operators.injection import inject_rings
+
+    return inject_rings(_edges(s, d), applications(s, d).select("app_id"), 10, camouflage=0.5)[1]
+
+
 @query("curated_union", " SELECT app_id FROM (SELECT app_id FROM apps ORDER BY score DESC, app_id LIMIT 150) UNION SELECT app_id FROM apps WHERE ring > 0")
 def _(s, d):
     a = applications(s, d)
@@ -729,6 +804,13 @@ def _(s, d):
     return evaluate(_edges(s, d), _y(applications(s, d)))
 
 
+@query("two_stage_spread")
+def _(s, d):
+    from tessera.operators.coldstart import two_stage
+
+    return two_stage(written(_edges(s, d), "edges"), _y(applications(s, d)))
+
+
 @query("component_folds")
 def _(s, d):
     from tessera.operators.components import component_folds
