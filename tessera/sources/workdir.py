@@ -15,7 +15,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock = threading.Lock()
 _writers: dict[int, int] = {}  # sessions with writes under way
 _settings: dict[int, str | None] = {}  # and their setting before
-_live: dict[str, None] = {}  # paths made and not yet removed, in order
+_live: dict[str, int] = {}  # paths made and not yet removed, in order, and the thread that made each
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +43,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     """Return a fresh path below the shared folder; it counts as live until it is removed."""
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     with _lock:
-        _live[path] = None
+        _live[path] = threading.get_ident()
     return path
 
 
@@ -94,11 +94,11 @@ def removed(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def swept(spark: SparkSession) -> Iterator[set]:
-    """Remove on exit what was made below the shared folder since, but for tables added to the yielded set."""
-    before, keep = set(_live), set()
+    """Remove on exit what this thread made below the shared folder since, but for tables added to the yielded set."""
+    before, keep, me = set(_live), set(), threading.get_ident()
     yield keep
     kept = {df._scratch for df in keep}
-    for path in [p for p in _live if p not in before and p not in kept]:
+    for path in [p for p, by in list(_live.items()) if by == me and p not in before and p not in kept]:
         removed(spark, path)
 
 
