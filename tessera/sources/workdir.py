@@ -11,10 +11,13 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch that goes to Python; Spark's 10,000 whole texts would be held several times over on both sides.
+BATCH_ROWS = 1_000
 
 _lock = threading.Lock()
 _writers: dict[int, int] = {}  # sessions with writes under way
-_settings: dict[int, str | None] = {}  # and their setting before
+_settings: dict[int, dict[str, str | None]] = {}  # and their settings before
 _live: dict[str, int] = {}  # paths made and not yet removed, in order, and the thread that made each
 
 
@@ -49,21 +52,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def _cleaning(spark: SparkSession) -> Iterator[None]:
-    """Drop shuffle files with their query while any write of this session runs."""
+    """While any write of this session runs, drop shuffle files with their query and keep batches for Python small."""
     key = id(spark._jsparkSession)
     with _lock:
         _writers[key] = _writers.get(key, 0) + 1
         if _writers[key] == 1:
-            _settings[key] = spark.conf.get(CLEANUP, None)
+            _settings[key] = {name: spark.conf.get(name, None) for name in (CLEANUP, ARROW_ROWS)}
             spark.conf.set(CLEANUP, "true")
+            rows = int(_settings[key][ARROW_ROWS] or 0)
+            spark.conf.set(ARROW_ROWS, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))  # none or less: unlimited
     try:
         yield
     finally:
         with _lock:
             _writers[key] -= 1
             if not _writers[key]:
-                before = _settings.pop(key)
-                spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+                for name, before in _settings.pop(key).items():
+                    spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def written(df: DataFrame, name: str, path: str | None = None, drops: tuple[DataFrame, ...] = ()) -> DataFrame:
