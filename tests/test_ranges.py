@@ -1,6 +1,7 @@
 """Numbering, percentiles, names, models and scratch folders on small inputs."""
 
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -111,3 +112,18 @@ def test_scratch_tables_can_be_swept(spark):
     workdir.removed(spark, kept._scratch)
     assert set(workdir._live) == before
     assert workdir.unused(spark.range(1).toDF("Salt"), "salt") == "salt_"
+
+
+def test_sweeping_spares_other_threads_and_settings_return(spark):
+    other, before = [], [spark.conf.get(k, None) for k in (workdir.CLEANUP, workdir.ARROW_ROWS)]
+    with workdir.swept(spark):
+        thread = threading.Thread(target=lambda: other.append(workdir.written(spark.range(3), "other")))
+        thread.start()
+        thread.join()
+        mine = workdir.written(spark.range(3), "mine")
+        with workdir._cleaning(spark):
+            assert int(spark.conf.get(workdir.ARROW_ROWS)) == workdir.BATCH_ROWS
+    assert other[0].count() == 3
+    assert mine._scratch not in workdir._live
+    assert [spark.conf.get(k, None) for k in (workdir.CLEANUP, workdir.ARROW_ROWS)] == before
+    workdir.removed(spark, other[0]._scratch)
