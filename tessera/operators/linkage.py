@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.workdir import written
+
 LEVELS = 4
 
 
@@ -79,22 +81,66 @@ def person_keys(first, last, birth_year, pincode, mobile) -> list:
     ]
 
 
-def block_pairs(rec: DataFrame, keys: list, cap: int | None = None, block: int = 2000) -> DataFrame:
-    """Candidate pairs ``a < b`` that share a blocking key.
+def units(rec: DataFrame, keys: list, fields=(), cap: int | None = None, share: int = 500) -> DataFrame:
+    """Ids that nothing tells apart, in shares of about ``share``: ``u, ids, keys, rows``.
 
-    A key above ``block`` rows is dealt over pairs of sub-blocks, so that no task has a whole large key and no pair
-    is left out. Only with ``cap`` (the reference's rule) do the rows with the smallest id hash alone stay.
+    ``keys`` are the blocking keys of any row of an id, ``rows`` the distinct values of ``fields`` on its rows, each with
+    their number ``m`` (an id may be repeated); ``u`` is the smallest of ``ids``, so each share has its own. Ids without
+    a key are left out, as is the null id. Only with ``cap`` do a key's rows with the smallest id hash alone stay.
     """
     from pyspark.sql import Window
 
-    k = rec.select("id", F.explode(F.array(*keys)).alias("key")).where("key is not null")
+    k = rec.select("id", F.explode(F.array(*keys)).alias("key")).where("key is not null and id is not null")
     if cap is not None:
         k = k.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.expr("(id * 2654435761) % 4294967296"), "id"))).where(F.col("r") <= cap)
-    big = k.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("subs"))
-    dealt = k.select("id", "key").join(big, "key", "left").withColumn("subs", F.coalesce("subs", F.lit(1))).withColumn("s", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
+    of = k.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    rows = rec.groupBy("id", *fields).agg(F.count("*").alias("m")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct(*fields, "m"))).alias("rows")) if fields else None
+    of = of.join(rows, "id") if fields else of.withColumn("rows", F.expr("array(named_struct('m', 1L))"))
+    of = written(of.withColumn("h", F.xxhash64("keys", "rows")), "link-ids")
+    many = of.groupBy("h").agg(F.ceil(F.count("*") / share).cast("int").alias("shares")).where("shares > 1")
+    dealt = of.join(many, "h", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("shares", F.lit(1))))
+    ids = dealt.groupBy("keys", "rows", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return written(ids.select(F.col("ids")[0].alias("u"), "ids", "keys", "rows"), "link-units")
+
+
+def unit_pairs(unit: DataFrame, block: int = 2000) -> DataFrame:
+    """Pairs of ``units`` that share a key, once each: ``u_a <= u_b, ids_a, ids_b, m`` and the fields with ``_a`` and ``_b``.
+
+    A key above ``block`` ids is dealt over pairs of sub-blocks, so that no task has a whole large key and no pair is
+    left out. A pair counts under the first key that it shares, so pairs are neither shuffled nor made distinct.
+    A unit meets itself too, for the pairs inside it. Units whose ids have several rows come once a pair of rows, ``m`` times.
+    """
+    fields = [f.name for f in unit.schema["rows"].dataType.elementType if f.name != "m"]
+    k = unit.select("u", "ids", "rows", "keys", F.posexplode("keys").alias("at", "key"))
+    k = k.select("u", "ids", "key", F.slice("keys", F.lit(1), F.col("at")).alias("before"), F.explode("rows").alias("r")).select("u", "ids", "key", "before", "r.*")
+    held = unit.select(F.explode("keys").alias("key"), F.size("ids").alias("n")).groupBy("key").agg(F.sum("n").alias("n"))
+    big = held.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("subs"))
+    dealt = k.join(big, "key", "left").withColumn("subs", F.coalesce("subs", F.lit(1))).withColumn("s", F.pmod(F.xxhash64("u"), F.col("subs")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-    left, right = dealt.select(F.col("id").alias("a"), "key", F.col("s").alias("i"), F.col("o").alias("j")), dealt.select(F.col("id").alias("b"), "key", F.col("o").alias("i"), F.col("s").alias("j"))
-    return left.join(right, ["key", "i", "j"]).where("a < b").select("a", "b").distinct()
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ["u", "ids", "before", "m", *fields]]
+    left = dealt.select("key", F.col("s").alias("i"), F.col("o").alias("j"), *named("a"))
+    right = dealt.select("key", F.col("o").alias("i"), F.col("s").alias("j"), *named("b"))
+    met = left.join(right, ["key", "i", "j"]).where("u_a <= u_b and (size(before_a) = 0 or size(before_b) = 0 or not arrays_overlap(before_a, before_b))")
+    return met.select("u_a", "u_b", "ids_a", "ids_b", (F.col("m_a") * F.col("m_b")).alias("m"), *[f"{c}_{side}" for c in fields for side in "ab"])
+
+
+def expanded(pairs: DataFrame, repeats: bool = True) -> DataFrame:
+    """Pairs of ids ``a < b`` of ``unit_pairs``, with the fields of struct ``ab`` (``ba`` where ``b`` is in the first unit)."""
+    if repeats:
+        pairs = pairs.withColumn("m", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+    both = [c for c in ("ab", "ba") if c in pairs.columns]
+    each = pairs.select("u_a", "u_b", *both, "ids_b", F.explode("ids_a").alias("x")).select("u_a", "u_b", *both, "x", F.explode("ids_b").alias("y"))
+    each = each.where("u_a < u_b and x <> y or x < y").withColumn("up", F.expr("x < y"))
+    of = [F.when(F.col("up"), F.col(f"ab.{f.name}")).otherwise(F.col(f"ba.{f.name}")).alias(f.name) for f in pairs.schema["ab"].dataType] if both else []
+    return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *of)
+
+
+def block_pairs(rec: DataFrame, keys: list, cap: int | None = None, block: int = 2000) -> DataFrame:
+    """Candidate pairs ``a < b`` that share a blocking key, without a shuffle of pairs: see ``unit_pairs``.
+
+    Only with ``cap`` (the reference's rule) are a key's rows limited.
+    """
+    return expanded(unit_pairs(units(rec, keys, cap=cap), block), repeats=False)
 
 
 def level_columns(pairs: DataFrame, rec: DataFrame, names: list[str], exact: list[str]) -> DataFrame:
