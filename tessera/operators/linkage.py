@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tessera.sources.workdir import written
 
 LEVELS = 4
+#: Pairs of words that are compared beforehand and broadcast, at most.
+WORD_PAIRS = 500_000
 
 
 def jaro(a: str, b: str) -> float:
@@ -125,14 +127,12 @@ def unit_pairs(unit: DataFrame, block: int = 2000) -> DataFrame:
 
 
 def expanded(pairs: DataFrame, repeats: bool = True) -> DataFrame:
-    """Pairs of ids ``a < b`` of ``unit_pairs``, with the fields of struct ``ab`` (``ba`` where ``b`` is in the first unit)."""
+    """Pairs of ids ``a < b`` of ``unit_pairs``, with the fields of its struct ``of``, if any."""
     if repeats:
         pairs = pairs.withColumn("m", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
-    both = [c for c in ("ab", "ba") if c in pairs.columns]
-    each = pairs.select("u_a", "u_b", *both, "ids_b", F.explode("ids_a").alias("x")).select("u_a", "u_b", *both, "x", F.explode("ids_b").alias("y"))
-    each = each.where("u_a < u_b and x <> y or x < y").withColumn("up", F.expr("x < y"))
-    of = [F.when(F.col("up"), F.col(f"ab.{f.name}")).otherwise(F.col(f"ba.{f.name}")).alias(f.name) for f in pairs.schema["ab"].dataType] if both else []
-    return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *of)
+    of = ["of"] if "of" in pairs.columns else []
+    each = pairs.select("u_a", "u_b", *of, "ids_b", F.explode("ids_a").alias("x")).select("u_a", "u_b", *of, "x", F.explode("ids_b").alias("y"))
+    return each.where("u_a < u_b or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *[f"{c}.*" for c in of])
 
 
 def block_pairs(rec: DataFrame, keys: list, cap: int | None = None, block: int = 2000) -> DataFrame:
@@ -143,17 +143,30 @@ def block_pairs(rec: DataFrame, keys: list, cap: int | None = None, block: int =
     return expanded(unit_pairs(units(rec, keys, cap=cap), block), repeats=False)
 
 
-def level_columns(pairs: DataFrame, rec: DataFrame, names: list[str], exact: list[str]) -> DataFrame:
-    """Comparison levels of candidate pairs: names 0 exact, 1 >= .90, 2 >= .78, 3 else; others 0 equal, 1 else."""
-    left = rec.select([F.col(c).alias(f"{c}_a") for c in ["id", *names, *exact]])
-    right = rec.select([F.col(c).alias(f"{c}_b") for c in ["id", *names, *exact]])
-    j = pairs.join(left, pairs["a"] == left["id_a"]).join(right, pairs["b"] == right["id_b"])
+def similar(pairs: DataFrame, unit: DataFrame, c: str) -> DataFrame:
+    """Add the Jaro-Winkler similarity ``<c>_jw`` to ``unit_pairs``, null for a null; it is the same in both directions.
+
+    Words are compared once a pair of words that share a key, if these are few enough to broadcast; else within the batches.
+    """
+    k = unit.select(F.explode("keys").alias("key"), F.col(f"rows.{c}").alias("w")).select("key", F.explode("w").alias("w")).where("w is not null").distinct()
+    bound = k.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    x, y = F.col(f"{c}_a"), F.col(f"{c}_b")
+    if bound > WORD_PAIRS:
+        return pairs.withColumn(f"{c}_jw", F.when(x.isNotNull() & y.isNotNull(), jaro_winkler_column(x, y)))
+    words = k.select("key", F.col("w").alias("x")).join(k.select("key", F.col("w").alias("y")), "key").select("x", "y").distinct()
+    words = written(words.withColumn(f"{c}_jw", jaro_winkler_column(F.col("x"), F.col("y"))), "link-words")
+    return pairs.join(F.broadcast(words), (x == words["x"]) & (y == words["y"]), "left").drop("x", "y")  # at most WORD_PAIRS rows
+
+
+def levels(unit: DataFrame, names: list[str], exact: list[str], block: int = 2000) -> DataFrame:
+    """``unit_pairs`` with comparison levels as struct ``of``: names 0 exact, 1 >= .90, 2 >= .78, 3 else; others 0 equal, 1 else."""
+    j = unit_pairs(unit, block)
     for c in names:
-        words = j.select(f"{c}_a", f"{c}_b").distinct().withColumn("jw", jaro_winkler_column(F.col(f"{c}_a"), F.col(f"{c}_b")))
-        j = j.join(words, [f"{c}_a", f"{c}_b"]).withColumn(f"g_{c}", F.when(F.col(f"{c}_a") == F.col(f"{c}_b"), 0).when(F.col("jw") >= 0.90, 1).when(F.col("jw") >= 0.78, 2).otherwise(3)).drop("jw")
-    for c in exact:
-        j = j.withColumn(f"g_{c}", F.when(F.col(f"{c}_a") == F.col(f"{c}_b"), 0).otherwise(1))
-    return j.select("a", "b", *[f"g_{c}" for c in [*names, *exact]])
+        j = similar(j, unit, c)
+    same = lambda c: F.col(f"{c}_a") == F.col(f"{c}_b")
+    name = [F.when(same(c), 0).when(F.col(f"{c}_jw") >= 0.90, 1).when(F.col(f"{c}_jw") >= 0.78, 2).otherwise(3).alias(f"g_{c}") for c in names]
+    other = [F.when(same(c), 0).otherwise(1).alias(f"g_{c}") for c in exact]
+    return j.select("u_a", "u_b", "ids_a", "ids_b", "m", F.struct(*name, *other).alias("of"))
 
 
 def pava_decreasing(y) -> np.ndarray:

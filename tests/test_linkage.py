@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import linkage
 
-# Copies, an id with two different rows and one with two equal rows, missing parts, a null id, names that Jaro treats unlike by direction.
+# Copies, an id with two different rows and one with two equal rows, missing parts, a null id.
 ROWS = [
     (1, "anna", "rao", "x", "k1", "p"), (2, "anna", "rao", "x", "k1", "p"), (3, "anna", "rao", "x", "k1", "p"), (4, "ana", "rao", "y", "k1", "q"),
     (5, "ana", "roy", "y", "k2", "p"), (5, "hanna", "rao", None, "k3", "q"), (6, "", "rao", "x", "k3", None), (7, None, "rao", "x", "k3", "q"), (7, None, "rao", "x", "k3", "q"),
@@ -58,3 +58,26 @@ def test_part_without_a_blocking_part_has_no_key(spark, tmp_path):
     rows = [(1, "red bolt", None, "LARGE", 1), (2, "blue gear", None, "LARGE", 2), (3, "red bolt", "B", "LARGE", 3), (4, "old gear", "B", "LARGE", 4)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     assert [tuple(r) for r in QUERIES["er_block_pairs"](spark, str(tmp_path)).collect()] == [(3, 4)]
+
+
+def slow_levels(names=("first", "last"), exact=("size",)):
+    rows = [dict(zip(("id", "first", "last", "size"), r, strict=False)) for r in ROWS]
+
+    def level(x, y):
+        if x is None or y is None:
+            return 3
+        jw = linkage.jaro_winkler(x, y)
+        return 0 if x == y else 1 if jw >= 0.90 else 2 if jw >= 0.78 else 3
+
+    return [(a, b, *[level(x[c], y[c]) for c in names], *[int(x[c] is None or x[c] != y[c]) for c in exact]) for a, b in slow_pairs() for x in rows for y in rows if x["id"] == a and y["id"] == b]
+
+
+def test_levels_match_pair_by_pair(spark, monkeypatch):
+    words = [x for r in ROWS for x in r[1:3] if x]
+    assert all(linkage.jaro_winkler(x, y) == linkage.jaro_winkler(y, x) for x in words for y in words)
+    unit = linkage.units(rec_of(spark), keys(), ["first", "last", "size"])
+    for most in (linkage.WORD_PAIRS, 0):
+        monkeypatch.setattr(linkage, "WORD_PAIRS", most)
+        got = linkage.expanded(linkage.levels(unit, ["first", "last"], ["size"]))
+        assert Counter(map(tuple, got.collect())) == Counter(slow_levels())
+        assert "Aggregate" not in steps_over_join(got)
