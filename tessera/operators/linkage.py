@@ -169,6 +169,14 @@ def levels(unit: DataFrame, names: list[str], exact: list[str], block: int = 200
     return j.select("u_a", "u_b", "ids_a", "ids_b", "m", F.struct(*name, *other).alias("of"))
 
 
+def pattern_counts(leveled: DataFrame) -> DataFrame:
+    """Number ``n`` of pairs of ids at each pattern of ``levels``, from the units' sizes; no pair of ids is built."""
+    a, b = F.size("ids_a").cast("long"), F.size("ids_b").cast("long")
+    inside = (a * (a - 1) / 2).cast("long")
+    n = F.col("m") * F.when(F.col("u_a") < F.col("u_b"), a * b).otherwise(inside)
+    return leveled.select("of.*", n.alias("n")).where("n > 0").groupBy(*[f.name for f in leveled.schema["of"].dataType]).agg(F.sum("n").alias("n"))
+
+
 def pava_decreasing(y) -> np.ndarray:
     """Least-squares non-increasing fit."""
     blocks: list[list[float]] = []

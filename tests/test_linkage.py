@@ -81,3 +81,12 @@ def test_levels_match_pair_by_pair(spark, monkeypatch):
         got = linkage.expanded(linkage.levels(unit, ["first", "last"], ["size"]))
         assert Counter(map(tuple, got.collect())) == Counter(slow_levels())
         assert "Aggregate" not in steps_over_join(got)
+
+
+def test_pattern_counts_need_no_pairs_of_ids(spark):
+    for share in (500, 1):
+        unit = linkage.units(rec_of(spark), keys(), ["first", "last", "size"], share=share)
+        got = linkage.pattern_counts(linkage.levels(unit, ["first", "last"], ["size"]))
+        assert {tuple(r[:-1]): r["n"] for r in got.collect()} == Counter(r[2:] for r in slow_levels())
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode(ids" not in plan and "sequence(1" not in plan
