@@ -90,3 +90,12 @@ def test_pattern_counts_need_no_pairs_of_ids(spark):
         assert {tuple(r[:-1]): r["n"] for r in got.collect()} == Counter(r[2:] for r in slow_levels())
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate explode(ids" not in plan and "sequence(1" not in plan
+
+
+def test_similarity_of_missing_names_is_null(spark, tmp_path):
+    from tessera.plans.queries import QUERIES
+
+    rows = [(1, "red bolt", "B", "LARGE", 1), (2, None, "B", "LARGE", 2), (3, "old bolt", "B", "LARGE", 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["er_jaro_winkler"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(1, 2, None), (2, 3, None), (1, 3, 1.0)} and "Aggregate" not in steps_over_join(got)
