@@ -223,18 +223,34 @@ def link_threshold(pi: float, p: float, rule: str = "posterior") -> float:
     return cut - prior if rule == "posterior" else cut + prior
 
 
-def link(levels: DataFrame, fields: list[str], sizes: list[int], min_posterior: float = 0.99, rule: str = "posterior") -> DataFrame:
-    """Fit by EM on the pattern counts (a bounded table) and return accepted links ``a, b, llr``."""
+def link(leveled: DataFrame, fields: list[str], sizes: list[int], min_posterior: float = 0.99, rule: str = "posterior") -> DataFrame:
+    """Fit by EM on the pattern counts (a bounded table) and return the accepted pairs of ``levels`` with ``llr`` in ``of``.
+
+    ``expanded`` gives their pairs of ids, ``link_edges`` as few edges as join the same ids.
+    """
     cols = [f"g_{f}" for f in fields]
-    patterns = [(tuple(r[c] for c in cols), r["n"]) for r in levels.groupBy(*cols).agg(F.count("*").alias("n")).collect()]
+    patterns = [(tuple(r[c] for c in cols), r["n"]) for r in pattern_counts(leveled).collect()]
     if not patterns:
-        return levels.select("a", "b", F.lit(0.0).alias("llr"))
+        return leveled.select("u_a", "u_b", "ids_a", "ids_b", "m", F.struct(F.lit(0.0).alias("llr")).alias("of"))
     fit = fit_em(patterns, sizes)
     weight = None
     for f, c in enumerate(cols):
-        w = F.element_at(F.array(*[F.lit(float(np.log(max(fit["m"][f][i], 1e-9) / max(fit["u"][f][i], 1e-9)))) for i in range(sizes[f])]), F.col(c) + 1)
+        w = F.element_at(F.array(*[F.lit(float(np.log(max(fit["m"][f][i], 1e-9) / max(fit["u"][f][i], 1e-9)))) for i in range(sizes[f])]), F.col(f"of.{c}") + 1)
         weight = w if weight is None else weight + w
-    return levels.select("a", "b", weight.alias("llr")).where(F.col("llr") >= link_threshold(fit["pi"], min_posterior, rule))
+    held = leveled.where("u_a < u_b or size(ids_a) > 1").withColumn("of", F.struct(weight.alias("llr")))
+    return held.where(F.col("of.llr") >= link_threshold(fit["pi"], min_posterior, rule))
+
+
+def link_edges(links: DataFrame, unit: DataFrame) -> DataFrame:
+    """Edges ``a, b`` with the components of all pairs of ids in ``links``.
+
+    Every id of a linked unit is linked to every id of another (or of its own) unit, so the ids of a linked unit hang together.
+    """
+    near = links.select("u_a", "u_b").distinct()
+    near = written(near, "link-near")
+    linked = near.select(F.col("u_a").alias("v")).union(near.select("u_b")).distinct()
+    inner = unit.join(linked, F.col("u") == F.col("v")).select(F.col("u").alias("a"), F.explode("ids").alias("b"))
+    return near.where("u_a < u_b").select(F.col("u_a").alias("a"), F.col("u_b").alias("b")).union(inner)
 
 
 def resolved_ids(clusters: DataFrame) -> DataFrame:

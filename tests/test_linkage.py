@@ -92,6 +92,26 @@ def test_pattern_counts_need_no_pairs_of_ids(spark):
         assert "Generate explode(ids" not in plan and "sequence(1" not in plan
 
 
+def test_link_edges_join_what_the_links_join(spark):
+    from tessera.operators.components import connected_components
+
+    fields, sizes = ["first", "last", "size"], [4, 4, 2]
+    for share in (500, 1):
+        unit = linkage.units(rec_of(spark), keys(), fields, share=share)
+        links = linkage.link(linkage.levels(unit, fields[:2], fields[2:]), fields, sizes, min_posterior=0.5)
+        pairs = linkage.expanded(links)
+        assert pairs.count() > 0 and pairs.where("llr is null").count() == 0
+        slow, fast = (connected_components(e, "a", "b").collect() for e in (pairs, linkage.link_edges(links, unit)))
+        assert sorted(map(tuple, slow)) == sorted(map(tuple, fast))
+
+
+def test_copies_are_not_linked_pair_by_pair(spark):
+    rec = spark.range(300).select("id", *[F.lit("x").alias(c) for c in ("first", "last", "size", "one", "two")])
+    unit = linkage.units(rec, keys(), ["first", "last", "size"])
+    links = linkage.link(linkage.levels(unit, ["first", "last"], ["size"]), ["first", "last", "size"], [4, 4, 2], min_posterior=0.01)
+    assert linkage.expanded(links).count() == 300 * 299 // 2 and linkage.link_edges(links, unit).count() == 300
+
+
 def test_similarity_of_missing_names_is_null(spark, tmp_path):
     from tessera.plans.queries import QUERIES
 
