@@ -1,5 +1,7 @@
 """Hand-computed fixtures of the core operators."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +160,36 @@ def test_bootstrap_agrees_with_resampling(spark):
     assert gain["share_better"] > 0.9 and gain["mean"] > 0
 
 
+def test_bootstrap_multiplies_no_rows_and_matches_its_draws(spark, monkeypatch):
+    replicates, seed = 7, 3
+    rows = [(i * 7919 - 400, int(i % 5 == 0), float(i % 11) if i % 13 else None, float("nan") if i % 17 == 0 else i / 3 - 40) for i in range(400)]
+    df = spark.createDataFrame(rows, "app_id long, y int, good double, poor double")
+    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", "app_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = {(r["replicate"], r["app_id"]): r["u"] for r in df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select("replicate", "app_id", u.alias("u")).collect()}
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    want = {}
+    for b in range(replicates):
+        for c, name in ((2, "good"), (3, "poor")):
+            groups = {}
+            for r in rows:
+                k = int((drawn[b, r[0]] >= steps).sum())
+                rank = (-2, 0) if r[c] is None else (0, 0) if math.isnan(r[c]) else (-1, r[c])
+                g = groups.setdefault(rank, [0, 0])
+                g[0] += k * r[1]
+                g[1] += k
+            p = n = area = 0
+            for rank in sorted(groups, reverse=True):
+                p, n = p + groups[rank][0], n + groups[rank][1]
+                area += groups[rank][0] * p / n if n else 0
+            want[b, name] = area / p
+    for cells in (evaluation.CELLS, 21):
+        monkeypatch.setattr(evaluation, "CELLS", cells)
+        got = evaluation.bootstrap(df, ["good", "poor"], replicates=replicates, seed=seed)
+        assert {(r["replicate"], r["model"]): r["ap"] for r in got.collect()} == pytest.approx(want)
+        assert "explode(sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert evaluation.bootstrap(df.where("app_id is null"), ["good"], replicates=3).count() == 0
+
+
 def test_graph_logistic_equals_a_dense_solution(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 2))
