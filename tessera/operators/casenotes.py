@@ -27,23 +27,44 @@ PHRASES = {
 }
 
 
+def repeats(inc: DataFrame, few: int = 16) -> DataFrame:
+    """``relation, app_id, again``: over the partners of an application the shared nodes beyond the first, where there are any.
+
+    Applications with at most ``few`` nodes in a relation are met by pairs of nodes: a pair that w nodes link meets
+    w (w - 1) / 2 times, and one that a single node links never. Pairs with a larger application are met node by node.
+    """
+    nodes = inc.groupBy("relation", "app_id").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    on = inc.join(nodes, ["relation", "app_id"])
+    small = on.where(F.col("nodes") <= few).groupBy("relation", "app_id").agg(F.sort_array(F.collect_list("node")).alias("list"))
+    first = small.select("relation", "app_id", "list", F.posexplode("list").alias("at", "n1"))
+    twice = first.select("relation", "app_id", "n1", F.explode(F.slice("list", F.col("at") + 2, F.lit(few))).alias("n2"))
+    key = ["relation", "n1", "n2"]
+    shared = twice.join(twice.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1"), key)
+    pairs = shared.join(shared.select(*key, F.col("app_id").alias("other")), key).where("app_id <> other")
+    w = (F.sqrt(8 * F.count("*") + 1) + 1) / 2
+    low = pairs.groupBy("relation", "app_id", "other").agg((F.round(w) - 1).cast("long").alias("again"))
+    big = on.where(F.col("nodes") > few).select("relation", "node", F.col("app_id").alias("other"))
+    met = on.select("relation", "node", "app_id", "nodes").join(big, ["relation", "node"]).where("app_id <> other")
+    met = met.groupBy("relation", "app_id", "other", (F.col("nodes") <= few).alias("small")).agg((F.count("*") - 1).alias("again")).where("again > 0")
+    back = met.where("small").select("relation", F.col("other").alias("app_id"), F.col("app_id").alias("other"), "again")
+    return low.union(met.select("relation", "app_id", "other", "again")).union(back).groupBy("relation", "app_id").agg(F.sum("again").alias("again"))
+
+
 def neighbours(inc: DataFrame, limit: int = 12) -> DataFrame:
     """Applications on the same nodes: ``relation, app_id, others`` (distinct) and ``sample``, the smallest ``limit`` ids.
 
-    The sample comes from the first ``limit + 1`` applications of each node. Only applications
-    with several shared nodes in a relation need their partners listed to be counted once.
+    The sample comes from the first ``limit + 1`` applications of each node. Partners are counted through the nodes, less
+    those met again (``repeats``), so only partners with several shared nodes are listed. ``inc`` is read several times.
     """
     key = ["relation", "node"]
-    size = inc.groupBy(*key).agg(F.count("*").alias("nd")).where("nd > 1")
     first = Window.partitionBy(*key).orderBy("app_id")
-    head = inc.withColumn("i", F.row_number().over(first)).where(F.col("i") <= limit + 1).groupBy(*key).agg(F.collect_list("app_id").alias("head"))
-    on = inc.join(size, key).join(head, key)
-    app = on.groupBy("relation", "app_id").agg(F.count("*").alias("nodes"), F.sum(F.col("nd") - 1).alias("through"), F.flatten(F.collect_list("head")).alias("near"))
-    several = inc.join(size, key).join(app.where("nodes > 1").select("relation", "app_id"), ["relation", "app_id"], "left_semi")
-    pairs = several.join(inc.withColumnRenamed("app_id", "other"), key).where("app_id <> other")
-    exact = pairs.groupBy("relation", "app_id").agg(F.count_distinct("other").alias("exact"))
+    placed = inc.withColumn("i", F.row_number().over(first))
+    head = placed.groupBy(*key).agg(F.count("*").alias("nd"), F.collect_list(F.when(F.col("i") <= limit + 1, F.col("app_id"))).alias("head")).where("nd > 1")
+    on = inc.join(head, key)
+    app = on.groupBy("relation", "app_id").agg(F.sum(F.col("nd") - 1).alias("through"), F.flatten(F.collect_list("head")).alias("near"))
+    shared = inc.join(head.select(*key), key, "left_semi")
     sample = F.slice(F.array_sort(F.array_distinct(F.filter("near", lambda x: x != F.col("app_id")))), 1, limit)
-    return app.join(exact, ["relation", "app_id"], "left").select("relation", "app_id", F.coalesce("exact", "through").alias("others"), sample.alias("sample"))
+    return app.join(repeats(shared), ["relation", "app_id"], "left").select("relation", "app_id", (F.col("through") - F.coalesce("again", F.lit(0))).alias("others"), sample.alias("sample"))
 
 
 def signal_notes(values: DataFrame, apps: DataFrame, top: int = 5, extreme: float = 0.5) -> DataFrame:

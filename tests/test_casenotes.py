@@ -25,6 +25,21 @@ def test_neighbours_count_shared_partners_once(spark):
     assert casenotes.neighbours(_incidence(spark, [])).count() == 0
 
 
+def test_neighbours_with_several_shared_nodes_are_not_listed_by_node(spark):
+    rng = np.random.default_rng(8)
+    rows = sorted({("guarantor", int(a), f"g{n}") for a in range(40) for n in rng.integers(0, 30, 1 + a % 6)} | {("guarantor", a, f"g{n}") for a in (41, 42) for n in range(25)} | {("device", a, f"d{a % 7}") for a in range(40)})
+    of, on = {}, {}
+    for r, a, n in rows:
+        of.setdefault((r, a), set()).add(n)
+        on.setdefault((r, n), set()).add(a)
+    want = {(r, a): sorted(set().union(*(on[r, n] for n in ns)) - {a}) for (r, a), ns in of.items()}
+    for few in (16, 3):
+        got = casenotes.repeats(_incidence(spark, rows), few)
+        assert {(x["relation"], x["app_id"]): x["again"] for x in got.collect()} == {k: g for k, v in want.items() if (g := sum(len(on[k[0], n]) - 1 for n in of[k]) - len(v))}
+    got = {(x["relation"], x["app_id"]): (x["others"], x["sample"]) for x in casenotes.neighbours(_incidence(spark, rows)).collect()}
+    assert got == {k: (len(v), v[:12]) for k, v in want.items() if v}
+
+
 def test_notes_take_low_entropy_as_bad_and_leave_flat_features_out(spark):
     apps = spark.createDataFrame([(i,) for i in range(5)], "app_id long")
     v = [("co_device", i, float(i * i)) for i in range(1, 5)] + [("entropy_device", i, float(i)) for i in range(5)] + [("co_person", 0, 1.0), ("unknown", 0, 9.0)]
