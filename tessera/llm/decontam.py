@@ -1,9 +1,10 @@
 """Benchmark decontamination (DataFrame operations only).
 
-A window of a document has as many words as a benchmark item. A window that
-shares no shingle with the item has similarity zero, so windows are laid for the
-pairs of a document and an item that share one, in line with each shared
-shingle. Every such window and every item gets a SimHash over its shingles. Both
+A window of a document has as many words as a benchmark item. Of all windows of a
+document those count that end with a shingle of the item (a word further to the
+left never holds more of them, so the first best window is among these or is the
+document's first) and that hold enough of its shingles to reach the threshold at
+all. Every such window and every item gets a SimHash over its shingles. Both
 are indexed under the item and radius + 1 blocks of the fingerprint, which finds
 all pairs within the radius; survivors are verified by their exact weighted
 similarity.
@@ -11,7 +12,7 @@ similarity.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.workdir import written
@@ -55,19 +56,27 @@ def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_i
     # Items with the same words are one target.
     items = written(items.select("item_id", F.xxhash64("w").alias("target"), "len", shingles(F.col("w"), width).alias("hs")), "decontam-items")
     targets = items.dropDuplicates(["target"]).select("target", "len", "hs")
-    keys = written(targets.select("target", "len", F.least("len", F.lit(width)).alias("width"), F.posexplode("hs").alias("ipos", "h")), "decontam-keys")
+    keys = written(targets.select("target", "len", F.least("len", F.lit(width)).alias("width"), F.explode("hs").alias("h")), "decontam-keys")
     widths = sorted(r[0] for r in keys.select("width").distinct().collect())  # at most ``width`` values
     if not widths:
         return spark.createDataFrame([], f"doc_id long, th long, item_id {dict(benchmark.dtypes)[item_id]}, similarity double, start_word int")
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
+    few = keys.count() <= BROADCAST_ROWS
     whole = docs[text].cast("string")
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(whole).alias("th"), words(whole).alias("w")).where(F.size("w") > 0)
     # A document's grams of each width; a shorter document gives one gram of all it has.
     each = base.select("doc_id", "th", F.size("w").alias("n"), F.explode(F.array(*[F.struct(F.lit(n).alias("width"), shingles(F.col("w"), n).alias("hs")) for n in widths])).alias("g"))
     grams = each.select("doc_id", "th", "n", F.col("g.width").alias("width"), F.posexplode("g.hs").alias("pos", "h"))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("ipos"), F.col("n") - F.col("len")))
-    hits = grams.join(keys, ["width", "h"]).select("doc_id", "th", "target", "len", start.alias("start"))
+    # Places with a shingle of a target; a window holds at most as many of the target's shingles as it has such places.
+    shingled = keys.select("target", "len", "width", "h").distinct()
+    hits = grams.join(F.broadcast(shingled) if few else shingled, ["width", "h"]).select("doc_id", "th", "target", "len", "width", "n", "pos").distinct()
+    at = Window.partitionBy("doc_id", "th", "target").orderBy("pos")
+    hits = written(hits.withColumn("rank", F.row_number().over(at)), "decontam-hits")
+    own, whose = F.least("len", "n") - F.col("width") + 1, F.col("len") - F.col("width") + 1
+    need = F.greatest(F.lit(1), F.ceil(threshold * (own + whose) / (1 + threshold) - 1e-9)).cast("int")
+    start = F.greatest(F.lit(0), F.col("pos") - (F.col("len") - F.col("width")))
+    ends = hits.select("doc_id", "th", "target", "len", start.alias("start"), (F.col("rank") - need + 1).alias("least")).where("least > 0")
+    firsts = hits.select(F.col("doc_id").alias("d1"), F.col("th").alias("t1"), F.col("target").alias("g1"), "rank", "pos")
+    hits = ends.join(firsts, F.expr("doc_id <=> d1 and th = t1 and target = g1 and least = rank and pos >= start")).select("doc_id", "th", "target", "len", "start")
     # The spots of a stretch of words are one row, so that no row grows with a document.
     spots = hits.groupBy("doc_id", "th", F.floor(F.col("start") / STRETCH).alias("stretch")).agg(F.collect_set(F.struct("start", "len", "target")).alias("spots"))
     spots = written(spots.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "spots"), "decontam-spots")

@@ -175,6 +175,18 @@ def test_decontamination_against_all_windows(spark):
     assert all(got[p] == pytest.approx(want[p]) for p in got) and len(got) >= 0.98 * len(want)
 
 
+def test_decontamination_finds_the_best_window_out_of_line_with_every_shingle(spark):
+    rng = random.Random(23)
+    new = lambda n: words(rng, n).split()
+    item = new(400)
+    # The window in line with the first part, or with the second, holds less than one between them.
+    doc = [*new(3), *item[3:200], *new(10), *item[200:395], *new(30)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontam.leaks(docs_of(spark, [(0, " ".join(doc), "s"), (None, " ".join(new(20) + doc), "s")]), bench).orderBy("start_word").collect()
+    assert [(r["doc_id"], r["start_word"]) for r in got] == [(0, 3), (None, 23)]
+    assert all(r["similarity"] == pytest.approx(similarity(doc, item)) for r in got)
+
+
 def test_simhash_against_the_definition(spark):
     rng = random.Random(18)
     base = words(rng, 300).split()
