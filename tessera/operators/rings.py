@@ -29,14 +29,22 @@ def ring_scores(member: DataFrame, apps: DataFrame, inc: DataFrame, edges: DataF
     rel = member.join(inc, "app_id").groupBy("cluster").agg(*[x for r in AXES[:4] for x in (F.countDistinct(F.when(F.col("relation") == r, F.col("node"))).alias(f"d_{r}"), F.count(F.when(F.col("relation") == r, 1)).alias(f"l_{r}"))])
     s, d = member.select(F.col("app_id").alias("src"), F.col("cluster").alias("c1")), member.select(F.col("app_id").alias("dst"), F.col("cluster").alias("c1"))
     dens = edges.join(s, "src").join(d, ["dst", "c1"]).groupBy(F.col("c1").alias("cluster")).agg(F.count("*").alias("links"))
-    j = base.join(rel, "cluster", "left").join(dens, "cluster", "left")
+    return ranked(base.join(rel, "cluster", "left").join(dens, "cluster", "left"), keys)
+
+
+def ranked(j: DataFrame, keys=()) -> DataFrame:
+    """Scores from the counts of clusters: ``cluster``, ``keys``, ``n, w14, mean_score, frac_hot, span, links``, distinct nodes ``d_<relation>``, ``l_guarantor``.
+
+    Ranks are taken among the clusters of one value of ``keys``.
+    """
+    keys = list(keys)
     conc = lambda r: F.greatest(F.lit(0.0), 1 - F.coalesce(f"d_{r}", F.lit(0)) / F.col("n")).alias(r)
     guar = F.when(F.col("l_guarantor") >= 2, 1 - F.col("d_guarantor") / F.col("l_guarantor")).otherwise(0.0).alias("guarantor")
     j = j.select("*", conc("device"), conc("account"), conc("person"), guar, (F.col("w14") / F.col("n")).alias("burst"), F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / (F.col("n") * (F.col("n") - 1) / 2)).alias("density"))
     top = F.greatest(*AXES)
     j = numbered(j.withColumn("structural", 0.8 * top + 0.2 * F.col("density")), [F.asc("mean_score"), F.asc("cluster")], keys)
     count = j.groupBy(*keys).agg(F.count("*").alias("cnt"))
-    j = (j.join(count, keys) if by else j.crossJoin(F.broadcast(count))).withColumn("r01", F.when(F.col("cnt") > 1, (F.col("place") - 1) / (F.col("cnt") - 1)).otherwise(0.0))  # one row
+    j = (j.join(count, keys) if keys else j.crossJoin(F.broadcast(count))).withColumn("r01", F.when(F.col("cnt") > 1, (F.col("place") - 1) / (F.col("cnt") - 1)).otherwise(0.0))  # one row
     dom = F.coalesce(*[F.when(F.col(a) == top, F.lit(a)) for a in AXES])
     j = j.withColumn("corroboration", 0.5 * F.col("r01") + 0.5 * F.col("frac_hot")).withColumn("ring_score", 0.65 * F.col("corroboration") + 0.35 * F.col("structural"))
     return j.select("cluster", *keys, "n", *AXES, "density", "mean_score", "frac_hot", "span", "structural", "corroboration", "ring_score", dom.alias("dominant_axis"))

@@ -51,3 +51,49 @@ def test_sweep_and_choice(spark):
     assert t[0.5, 5]["median_lead"] == 10.0 and t[0.65, 5]["detected"] == 1 and t[0.85, 5]["detected"] == 0 and t[0.85, 5]["evaluable"] == 2
     best = leadtime.chosen(leadtime.sweep(found, apps, 8, (0.5, 0.65, 0.85), (3, 5))).first()
     assert (best["threshold"], best["min_size"], best["viable"]) == (0.85, 3, True)
+
+
+def test_histories_match_components_at_every_place(spark):
+    rng, n, places = random.Random(5), 70, 45
+    present = [(i, rng.randrange(places)) for i in range(n)]
+    at, links = dict(present), sorted({("device", rng.randrange(n), f"d{rng.randrange(55)}") for _ in range(95)})
+    rows = leadtime.memberships(spark.createDataFrame(present, "app_id long, place long"), spark.createDataFrame(links, "relation string, app_id long, node string"), ["device"], places, 1).collect()
+    got = {(t, r["app_id"]): r["cluster"] for r in rows for t in range(r["start"], r["end"])}
+    assert len(got) == sum(r["end"] - r["start"] for r in rows) == sum(places - p for _, p in present)
+    biggest = 0
+    for t in range(places):
+        name = {i: i for i, p in present if p <= t}
+        for _ in range(n):
+            low = {}
+            for _, i, node in links:
+                if i in name:
+                    low[node] = min(low.get(node, n), name[i])
+            for _, i, node in links:
+                if i in name:
+                    name[i] = min(name[i], low[node])
+        assert {i: got[t, i] for i in name} == name
+        biggest = max(biggest, max(sum(1 for x in name.values() if x == c) for c in set(name.values())))
+    assert biggest > 30
+
+
+def test_replay_keeps_no_application_by_snapshot(spark, monkeypatch):
+    sizes, plain = {}, leadtime.written
+
+    def counted(df, name, *rest, **more):
+        out = plain(df, name, *rest, **more)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(leadtime, "written", counted)
+    n, days = 600, list(range(0, 300, 3))
+    apps = spark.range(n).selectExpr("id as app_id", "id % 300 as day", "(id * 37 % 601) / 601D as score", "cast(-1 as bigint) as ring")
+    inc = spark.range(n).selectExpr("'device' as relation", "id as app_id", "cast(id div 2 as string) as node").union(spark.range(4).selectExpr("'account'", "id", "'a'"))
+    found = leadtime.replay(apps, inc, graphfeatures.pair_edges(inc, RELATIONS), RELATIONS, days)
+    assert found.agg(F.max("n")).first()[0] == 4 and found.count() == 99  # from day 3 on, three applications or four
+    assert max(sizes.values()) <= 2 * n, sizes
+
+
+def test_replay_of_nothing(spark):
+    apps = spark.createDataFrame([], "app_id long, day long, score double, ring long")
+    inc = spark.createDataFrame([], "relation string, app_id long, node string")
+    assert leadtime.replay(apps, inc, graphfeatures.pair_edges(inc, RELATIONS), RELATIONS, [0, 7]).count() == 0
