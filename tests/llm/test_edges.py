@@ -144,6 +144,51 @@ def test_html_walk_is_linear_and_vectors_are_exact(spark):
             assert (true[a] == true[b]) == (vec[a] == vec[b])
 
 
+def test_html_one_path_in_several_roles_is_told_apart(spark):
+    rng = random.Random(17)
+    arts = [[words(rng, 3), *(words(rng, 30) for _ in range(rng.randint(2, 5)))] for _ in range(12)]
+    # Bare divs: menu, article and footer have one path, and so have, two levels deeper, the columns of the article's frame.
+    frame = "<div><div><div>{0}</div><div><h1>{1}</h1>{2}</div></div></div>"
+    def bare(a, deep):
+        text = a[0], "".join(f"<p>{p}</p>" for p in a[1:])
+        art = frame.format(words(rng, 2), *text) if deep else "<div><h1>{}</h1>{}</div>".format(*text)
+        return f'<html><body><div><a href="/">home {words(rng, 1)}</a></div>{art}<div>{words(rng, 4)}</div></body></html>'
+    rows = [(100 * deep + i, f"http://h{deep}.example/{i}", bare(a, deep)) for deep in (0, 1) for i, a in enumerate(arts)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {100 * deep + i: "\n".join(a) for deep in (0, 1) for i, a in enumerate(arts)}
+    # Parts of one article are not told apart to its loss.
+    two = [(i, f"http://t.example/{i}", f'<html><body><div class="k1">{words(rng, 1)}</div><div class="k2"><div><h1>{a[0]}</h1><p>{a[1]}</p></div><div><p>{a[2]}</p></div></div></body></html>') for i, a in enumerate(arts)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(two, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(a[:3]) for i, a in enumerate(arts)}
+
+
+def test_html_classes_follow_vectors_order_and_nesting(spark):
+    side, art = '<div class="s"><b>links</b></div>', '<div class="a"><h1>{0}</h1></div>'
+    body = lambda i: (side + art if i % 2 else art + side).format(i) + ("" if i == 0 else '<div class="f"><i class="x">x</i></div>')
+    pages = [f'<html><body><div class="h">top{"" if i == 0 else "<u>new</u>"}</div>{body(i)}</body></html>' for i in range(12)]
+    df = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
+    seen = htmltext._token_rows(df).distinct()
+    vec = F.sum(F.pmod(F.xxhash64("content", "n"), F.lit(1 << 40))).alias("vec")
+    frequent = seen.where("kind = 'tag'").groupBy("host", "kind", "token").agg(vec, F.count("*").alias("pages"), F.avg(F.get("at", F.lit(0))).alias("mean"), F.first("step").alias("step"), F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.min("few").alias("few"), F.max("most").alias("most"))
+    rows = [r.asDict() for r in frequent.join(htmltext._out_of_order(seen, frequent), ["host", "kind", "token"], "left").fillna(False, ["cut"]).collect()]
+    classes = [{r["step"] for r in c} for c in htmltext.classes_of(rows)]
+    of = {x: i for i, c in enumerate(classes) for x in c}
+    assert of["html"] == of["body"] == of["div.class=h"] and of["div.class=a"] == of["h1"] and of["div.class=s"] == of["b"]
+    assert of["div.class=a"] != of["div.class=s"], "the side's place changes"
+    assert of["div.class=f"] == of["i.class=x"] != of["u"], "one vector, but in two elements of another class"
+    assert len(htmltext.valid_tags(htmltext.classes_of(rows), 12)) == len(rows)
+    assert htmltext.valid_tags(htmltext.classes_of(rows), 24) == set()
+
+
+def test_html_repeated_class_must_start_anew(spark):
+    pages = ["".join(x) + f"<s>{i}</s>" for i in range(6) for x in (["<b></b><i></i>"] * 2, ["<b></b><b></b><i></i><i></i>"])]
+    seen = htmltext._token_rows(spark.createDataFrame([("h", pages[j]) for j in range(12)] , "host string, html string")).distinct()
+    frequent = seen.where("kind = 'tag' and step in ('b', 'i')").groupBy("host", "kind", "token").agg(F.lit(1).alias("vec"), F.lit(0).alias("parent"), F.avg(F.get("at", F.lit(0))).alias("mean"))
+    apart = seen.where("content in (%s)" % ", ".join(str(htmltext._hash(0, p)) for p in pages[::2]))
+    assert [r["cut"] for r in htmltext._out_of_order(apart, frequent).collect()] == [False]
+    assert [r["cut"] for r in htmltext._out_of_order(seen, frequent).collect()] == [True]
+
+
 def similarity(doc, item):
     """Best exact similarity of any window of the item's length."""
     grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
